@@ -2,17 +2,20 @@
 
 Python patterns run in ``java.util.regex`` with flags that give the same matches:
 ``d`` lets ``.`` and ``$`` see only ``\\n``, ``U`` makes classes and case folding
-Unicode-aware as they are for Python ``str`` patterns.
+Unicode-aware as they are for Python ``str`` patterns. Where the classes still differ
+they are spelled out.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fleetlint.catalog.rules import Rule
+from fleetlint.functions.tables import sql_literal
 from fleetlint.functions.text import CLOSE, OPEN, newline_count
 
 _BLOCK = 256
@@ -22,9 +25,34 @@ TAIL_CHARS = 4
 _ODD_LETTERS = "\u0130\u0131\u017f\u212a"
 
 
+# Python's classes in Java's terms. Java would count combining marks as word
+# characters and would not count the separators 1C-1F as space.
+_WORD = r"\p{L}\p{N}_"
+_SPACE = r"\s\x1c-\x1f"
+_OUTSIDE = {
+    "w": f"[{_WORD}]", "W": f"[^{_WORD}]", "s": f"[{_SPACE}]", "S": f"[^{_SPACE}]",
+    "b": f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))", "Z": r"\z",
+}
+_INSIDE = {"w": _WORD, "s": _SPACE}
+_TOKEN = re.compile(r"\\(.)|\(\?P<|\[\^?\]?|\]|.", re.S)
+
+
 def to_java(pattern: str) -> str:
-    """Syntax that Python and Java spell differently."""
-    return re.sub(r"\(\?P<", "(?<", pattern).replace(r"\Z", r"\z")
+    """A Python pattern in Java's syntax, with the same meaning of its classes."""
+    out, inside = [], False
+    for token in _TOKEN.finditer(pattern):
+        text, escaped = token.group(0), token.group(1)
+        if escaped is not None:
+            out.append((_INSIDE if inside else _OUTSIDE).get(escaped, text))
+        elif inside:
+            inside = text != "]"
+            out.append(text if text in ("]", "^") or not text.startswith("[") else "\\" + text)
+        elif text.startswith("["):
+            inside = True
+            out.append(text.replace("]", "\\]"))
+        else:
+            out.append("(?<" if text == "(?P<" else text)
+    return "".join(out)
 
 
 def java_pattern(rule: Rule) -> str:
@@ -39,26 +67,32 @@ def has_odd_letters(text: Column) -> Column:
     return found
 
 
-def may_match(rule: Rule, text: Column, lowered: Column, odd: Column) -> Column | None:
-    """A cheap test that is false only where the pattern surely has no match."""
+# Conditions and branches of a scan are SQL text: a catalog has about a hundred rules
+# with many words each, and one parsed text is built far faster than a Column per word.
+
+
+def any_word(subject: str, words: Sequence[str]) -> str:
+    return "(" + " OR ".join(f"contains({subject}, {sql_literal(w)})" for w in words) + ")"
+
+
+def may_match(rule: Rule, text: str = "content", lowered: str = "_lower", odd: str = "_odd") -> str | None:
+    """A cheap condition that is false only where the pattern surely has no match."""
     if not rule.needs:
         return None
-    if rule.ignore_case:
-        subject, words = lowered, [[w.lower() for w in group] for group in rule.needs]
-    else:
-        subject, words = text, rule.needs
-    gate = F.lit(True)
-    for group in words:
-        one = subject.contains(group[0])
-        for word in group[1:]:
-            one = one | subject.contains(word)
-        gate = gate & one
-    return (odd | gate) if rule.ignore_case else gate
-
-
-def match_pieces(rule: Rule, text: Column) -> Column:
+    if not rule.ignore_case:
+        return " AND ".join(any_word(text, group) for group in rule.needs)
+    gate = " AND ".join(any_word(lowered, [w.lower() for w in group]) for group in rule.needs)
+    return f"({odd} OR ({gate}))"
+
+
+def found_in(rule: Rule, text: str = "content") -> str:
+    return f"rlike({text}, {sql_literal(java_pattern(rule))})"
+
+
+def match_pieces(rule: Rule, text: str = "content") -> str:
     """Text before the first match, then for each match: it, CLOSE, the text up to the next."""
-    return F.split(F.regexp_replace(text, java_pattern(rule), OPEN + "$0" + CLOSE), OPEN, -1)
+    marked = f"regexp_replace({text}, {sql_literal(java_pattern(rule))}, {sql_literal(OPEN + '$0' + CLOSE)})"
+    return f"split({marked}, {sql_literal(OPEN)}, -1)"
 
 
 def bind(value: Column, body) -> Column:
@@ -100,8 +134,3 @@ def match_rows(pieces: Column, match_chars: int = 120) -> Column:
         ))
 
     return bind(F.transform(pieces, newline_count), rows)
-
-
-def matches(rule: Rule, text: Column, match_chars: int = 120) -> Column:
-    """All matches of one rule in one text."""
-    return bind(match_pieces(rule, text), lambda pieces: match_rows(pieces, match_chars))

@@ -11,18 +11,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetlint.catalog import paths
 from fleetlint.catalog.rules import ALWAYS_SETS, PATTERN_RULES, SET_CATEGORIES, Rule
 from fleetlint.functions import regex
-from fleetlint.functions.tables import values_table
-from fleetlint.functions.text import contains_any
+from fleetlint.functions.tables import sql_literal, values_table
 from fleetlint.operators import walk
 from fleetlint.plans.skew import join_per_repo
 
-MATCH_CHARS = 120
+MATCH_CHARS = 120  # fixed value: how much of a match is shown
+
+# Suffixes each kind of rule can look at, as a plain test that parquet can check on a
+# stored ``suffix`` column; the exact tests follow.
+_SUFFIXES = {
+    "pattern": paths.SOURCE_SUFFIXES,
+    "secret": paths.SECRET_SUFFIXES,
+    "auth": paths.CODE_SUFFIXES,
+    "trap": paths.CODE_SUFFIXES,
+    "service": paths.CODE_SUFFIXES,
+    "critical_path": walk.RATIO_SUFFIXES,
+    "test": walk.TEST_SUFFIXES,
+}
 
 # Which files each kind of rule looks at.
 _ELIGIBLE = {
@@ -52,6 +63,10 @@ def scan(files: DataFrame, rules: Sequence[Rule], match_chars: int = MATCH_CHARS
         eligible["pattern"] = lambda: walk.is_rule_source() & F.col("in_first")
     by_path = files.withColumn("test_langs", walk.test_languages()) if "test" in kinds else files.withColumn(
         "test_langs", walk.strings(()))
+    if all(kind in _SUFFIXES for kind in kinds):
+        suffixes = sorted({suffix for kind in kinds for suffix in _SUFFIXES[kind]})
+        named = F.col("suffix").isin(*suffixes)
+        by_path = by_path.where(named | F.col("name").startswith(".env") if "secret" in kinds else named)
     by_path = by_path.where(reduce(lambda a, b: a | b, [eligible[k]() for k in kinds]))
     if max_chars is not None:
         by_path = by_path.where(F.length("content") <= max_chars)
@@ -61,25 +76,25 @@ def scan(files: DataFrame, rules: Sequence[Rule], match_chars: int = MATCH_CHARS
         regex.has_odd_letters(F.col("content")).alias("_odd"),
         *[eligible[k]().alias(f"_{k}") for k in kinds],
     )
-    content, lowered, odd = F.col("content"), F.col("_lower"), F.col("_odd")
 
-    def wanted(rule: Rule) -> Column:
-        test = F.col(f"_{rule.kind}")
+    def wanted(rule: Rule) -> str:
+        tests = [f"_{rule.kind}"]
         if rule.extensions is not None:
-            test = test & F.col("suffix").isin(*rule.extensions)
+            tests.append("suffix IN (" + ", ".join(sql_literal(e) for e in rule.extensions) + ")")
         if rule.kind == "critical_path":
-            return test & contains_any(F.lower("path"), rule.needs[0]) & contains_any(lowered, rule.needs[0])
-        gate = regex.may_match(rule, content, lowered, odd)
+            return " AND ".join(tests + [regex.any_word("lower(path)", rule.needs[0]),
+                                         regex.any_word("_lower", rule.needs[0])])
+        gate = regex.may_match(rule)
         if gate is not None:
-            test = test & gate
-        return test & content.rlike(regex.java_pattern(rule)) if rule.exists_only else test
+            tests.append(gate)
+        if rule.exists_only:
+            tests.append(regex.found_in(rule))
+        return " AND ".join(tests)
 
-    candidates = F.array_compact(F.array(*[
-        F.when(wanted(rule), F.lit(i)) for i, rule in enumerate(rules)
-    ]))
+    candidates = F.expr("array_compact(array(" + ", ".join(
+        f"CASE WHEN {wanted(rule)} THEN {i} END" for i, rule in enumerate(rules)) + "))")
     pairs = texts.select("repo", "path", *carry, "test_langs", "content", F.explode(candidates).alias("rule_ix"))
 
-    ix = F.col("rule_ix")
     scanned = [(i, rule) for i, rule in enumerate(rules) if not rule.exists_only]
     nothing = F.array(F.struct(
         F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("match"),
@@ -88,8 +103,8 @@ def scan(files: DataFrame, rules: Sequence[Rule], match_chars: int = MATCH_CHARS
         found = nothing
         hits = pairs
     else:
-        pieces = reduce(lambda branch, item: branch.when(ix == item[0], regex.match_pieces(item[1], content)),
-                        scanned[1:], F.when(ix == scanned[0][0], regex.match_pieces(scanned[0][1], content)))
+        pieces = F.expr("CASE rule_ix " + " ".join(
+            f"WHEN {i} THEN {regex.match_pieces(rule)}" for i, rule in scanned) + " END")
         hits = pairs.select("repo", "path", *carry, "test_langs", "rule_ix", pieces.alias("_pieces"))
         found = F.when(F.col("_pieces").isNull(), nothing).otherwise(
             regex.match_rows(F.col("_pieces"), match_chars))
@@ -145,19 +160,24 @@ def scan_project(files: DataFrame, language_names: DataFrame, rules: Sequence[Ru
     return pattern_findings(hits, language_names, dedupe)
 
 
-# Cutoff rows up to this number are broadcast: about 20 MB.
-MAX_BROADCAST_CUTOFFS = 100_000
+# Repositories up to this number are broadcast with their cutoff: about 20 MB.
+MAX_BROADCAST_REPOS = 100_000
 
 
 def mark_first_files(files: DataFrame, n: int) -> DataFrame:
     """Add ``in_first``: not after the first ``n`` rule sources of the repository.
 
-    Only repositories with more than ``n`` sources have a cutoff. The cutoffs come from
-    paths alone and are counted first: a small table is broadcast, so the texts stay
-    where they are; a large one joins by repository, salted.
+    Repositories are counted first, from paths alone; only those with more than ``n``
+    sources are ranked. When they are few, their cutoffs are broadcast and the texts
+    stay where they are; otherwise the join is by repository, salted.
     """
-    cutoffs = walk.file_cutoffs(files, n)
-    small = cutoffs.limit(MAX_BROADCAST_CUTOFFS + 1).count() <= MAX_BROADCAST_CUTOFFS
+    large = walk.large_repos(files, n)
+    count = large.limit(MAX_BROADCAST_REPOS + 1).count()
+    if count == 0:
+        return files.withColumn("in_first", F.lit(True))
+    small = count <= MAX_BROADCAST_REPOS
+    ranked = files.join(F.broadcast(large) if small else large, "repo", "left_semi")
+    cutoffs = walk.file_cutoffs(ranked, n)
     joined = (
         files.join(F.broadcast(cutoffs), "repo", "left") if small
         else join_per_repo(files, cutoffs, spread=["path"])

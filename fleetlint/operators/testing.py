@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlint.catalog import testing
 from fleetlint.catalog.rules import WARNING, Rule
+from fleetlint.functions.regex import bind
 from fleetlint.functions.text import contains_any, percent_1
 from fleetlint.operators import walk
 from fleetlint.plans.skew import join_per_repo
@@ -94,6 +95,7 @@ def critical_files(hits: DataFrame, language_names: DataFrame) -> DataFrame:
 
 # Characters of ordinary file stems; a stem of these lies inside one run of them.
 _PLAIN = r"[\w.\-]"
+_ALL_PLAIN = f"(?U)^{_PLAIN}+$"
 _ANY = r"[^\n]"
 # A run is read in steps of 256 with 254 more characters behind each step, so every
 # substring of up to 255 characters (the longest file name) lies inside one piece.
@@ -103,8 +105,21 @@ _PIECES = r"(?U)(?=({0}{{1,510}})){0}{{1,256}}"
 def _substrings(piece: Column, lengths: Column) -> Column:
     """All substrings of a piece whose length is one of ``lengths``."""
     fitting = F.filter(lengths, lambda n: n <= F.length(piece))
-    return F.array_distinct(F.flatten(F.transform(fitting, lambda n: F.transform(
-        F.sequence(F.lit(1), F.length(piece) - n + 1), lambda i: F.substring(piece, i, n)))))
+    return F.flatten(F.transform(fitting, lambda n: F.transform(
+        F.sequence(F.lit(1), F.length(piece) - n + 1), lambda i: F.substring(piece, i, n))))
+
+
+def _anchored(piece: Column, shapes: Column) -> Column:
+    """Substrings of a piece with one of the ``shapes`` (anchor character, its offset, length)."""
+    usable = F.filter(shapes, lambda s: piece.contains(s["anchor"]) & (s["n"] <= F.length(piece)))
+
+    def cut(chars: Column, s: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(chars) - s["n"]),
+                          lambda i: F.get(chars, i + s["offset"]) == s["anchor"])
+        return F.transform(starts, lambda i: F.array_join(F.slice(chars, i + 1, s["n"]), ""))
+
+    return F.when(F.size(usable) > 0, bind(
+        F.split(piece, ""), lambda chars: F.flatten(F.transform(usable, lambda s: cut(chars, s)))))
 
 
 def mentioned_stems(critical: DataFrame, files: DataFrame, language_names: DataFrame, plain: bool) -> DataFrame:
@@ -114,34 +129,41 @@ def mentioned_stems(critical: DataFrame, files: DataFrame, language_names: DataF
     repository. Instead test texts are cut into runs of stem characters, distinct runs
     into substrings of the lengths that occur among the repository's stems, and those
     meet the stems by equality. The work grows with the texts, not with pairs.
+
+    Stems with other characters need whole lines as runs; there only substrings with
+    such a character at the right place are formed.
     """
-    is_plain = F.col("stem").rlike(f"(?U)^{_PLAIN}+$")
+    is_plain = F.col("stem").rlike(_ALL_PLAIN)
     stems = critical.where(is_plain if plain else ~is_plain).select("repo", "stem").distinct()
-    lengths = stems.groupBy("repo").agg(F.collect_set(F.length("stem")).alias("lengths"))
+    offset = F.length(F.regexp_extract("stem", f"(?U)^{_PLAIN}*", 0))
+    shape = F.length("stem") if plain else F.struct(
+        F.substring(F.col("stem"), offset + 1, F.lit(1)).alias("anchor"), offset.alias("offset"),
+        F.length("stem").alias("n"))
+    shapes = stems.groupBy("repo").agg(F.collect_set(shape).alias("shapes"))
     pieces = F.regexp_extract_all(
         F.lower("content"), F.lit(_PIECES.format(_PLAIN if plain else _ANY)), 1)
     tests = (
         files.withColumn("test_langs", walk.test_languages())
-        .where((F.size("test_langs") > 0) & F.col("content").isNotNull())
+        .where(F.col("suffix").isin(*walk.TEST_SUFFIXES) & (F.size("test_langs") > 0) & F.col("content").isNotNull())
         .select("repo", "test_langs", F.explode(F.array_distinct(pieces)).alias("piece"))
         .distinct()
     )
-    known = lengths.join(language_names, "repo", "left")
+    known = shapes.join(language_names, "repo", "left")
     kept = join_per_repo(tests, known, spread=["piece"], how="inner").where(
         walk.is_test_for(F.col("test_langs"), F.coalesce("language_names", walk.strings(()))))
-    parts = kept.select("repo", F.explode(_substrings(F.col("piece"), F.col("lengths"))).alias("stem")).distinct()
-    return stems.join(parts, ["repo", "stem"], "left_semi")
+    parts = (_substrings if plain else _anchored)(F.col("piece"), F.col("shapes"))
+    found = kept.select("repo", F.explode(parts).alias("stem"))
+    return stems.join(found.distinct(), ["repo", "stem"], "left_semi")
 
 
 def untested_findings(critical: DataFrame, files: DataFrame, language_names: DataFrame) -> DataFrame:
     """Critical files whose stem occurs in no test of the repository.
 
-    ``critical`` should be a stored table: it is read several times. Stems with unusual
-    characters need whole lines as runs; that pass is planned only where such stems exist.
+    ``critical`` should be a stored table: it is read several times. The pass for stems
+    with unusual characters is planned only where such stems exist.
     """
     mentioned = mentioned_stems(critical, files, language_names, plain=True)
-    odd = critical.where(~F.col("stem").rlike(f"(?U)^{_PLAIN}+$"))
-    if not odd.isEmpty():
+    if not critical.where(~F.col("stem").rlike(_ALL_PLAIN)).isEmpty():
         mentioned = mentioned.unionByName(mentioned_stems(critical, files, language_names, plain=False))
     return (
         critical.join(mentioned, ["repo", "stem"], "left_anti")

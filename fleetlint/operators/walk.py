@@ -11,6 +11,10 @@ from fleetlint.catalog import paths, stacks, testing
 from fleetlint.functions.text import path_order
 from fleetlint.plans.skew import top_k
 
+RATIO_SUFFIXES = tuple(sorted({s for group in testing.RATIO_SUFFIXES.values() for s in group}))
+# Every test-path pattern ends in one of these.
+TEST_SUFFIXES = (".js", ".jsx", ".ts", ".tsx", ".py", ".go", ".rs", ".php", ".rb", ".java")
+
 
 def strings(values: Sequence[str]) -> Column:
     return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
@@ -36,8 +40,7 @@ def is_code() -> Column:
 
 def is_ratio_source() -> Column:
     """May count as source in the test ratio (the repository's languages decide)."""
-    suffixes = sorted({s for group in testing.RATIO_SUFFIXES.values() for s in group})
-    return F.col("suffix").isin(*suffixes) & not_below(paths.CORE_SKIP_DIRS)
+    return F.col("suffix").isin(*RATIO_SUFFIXES) & not_below(paths.CORE_SKIP_DIRS)
 
 
 def test_languages() -> Column:
@@ -62,14 +65,15 @@ def first_files(files: DataFrame, n: int = paths.MAX_FILES) -> DataFrame:
     return top_k(sources, ["repo"], [path_order(F.col("path"))], n, spread=["path"], rank="file_rank")
 
 
+def large_repos(files: DataFrame, n: int = paths.MAX_FILES) -> DataFrame:
+    """Repositories with more than ``n`` rule sources."""
+    counts = files.where(is_rule_source()).groupBy("repo").agg(F.count("*").alias("_sources"))
+    return counts.where(F.col("_sources") > n).select("repo")
+
+
 def file_cutoffs(files: DataFrame, n: int = paths.MAX_FILES) -> DataFrame:
-    """``repo, last_path`` of repositories that have more than ``n`` rule sources."""
-    ranked = first_files(files, n + 1)
-    more = ranked.groupBy("repo").agg(
-        F.max("file_rank").alias("_ranks"),
-        F.max(F.when(F.col("file_rank") == n, F.col("path"))).alias("last_path"),
-    )
-    return more.where(F.col("_ranks") > n).select("repo", "last_path")
+    """``repo, last_path``: the path of the ``n``-th rule source of each repository that has one."""
+    return first_files(files, n).where(F.col("file_rank") == n).select("repo", F.col("path").alias("last_path"))
 
 
 def within_cutoff(path: str = "path") -> Column:
