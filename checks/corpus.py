@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetlint.functions.tables import values_table
-from fleetlint.sources.corpus import files_from_rows, spread
+from fleetlint.sources.corpus import files_from_rows
 
 BLOCK = 1000  # document ids per block
 STRIDE = 20  # ids of a block that share a slot

@@ -1,5 +1 @@
 """fleetlint: source-corpus quality analytics over a fleet of repositories, on Spark."""
-
-from fleetlint.plans.fleet import FleetScan
-
-__all__ = ["FleetScan"]

@@ -16,7 +16,9 @@ SPACE_AROUND = r"(?U)^\s+|\s+$"
 
 def clean_text(text: Column) -> Column:
     """Newlines become ``\\n``, the marker characters are dropped."""
-    return F.translate(F.regexp_replace(text, "\r\n?", "\n"), OPEN + CLOSE, "")
+    for old, new in (("\r\n", "\n"), ("\r", "\n"), (OPEN, ""), (CLOSE, "")):
+        text = F.replace(text, F.lit(old), F.lit(new))
+    return text
 
 
 def decode_text(raw: Column) -> Column:

@@ -1,108 +1,140 @@
-"""Dependency manifests to ``deps(repo, ecosystem, name, version)``.
+"""Dependency manifests to ``deps(repo, ecosystem, name, version)``, in one pass.
 
-Each manifest is one row; its lines are handled inside that row, so nothing is
-shuffled before the per-repository de-duplication.
+Each manifest is one row and is parsed inside that row. The only shuffle carries the
+parsed names of manifests, to pick one package.json and to drop repeated names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlint.catalog import stacks
 from fleetlint.functions import text
+from fleetlint.functions.regex import to_java
 
-_PACKAGE_JSON = (
-    "dependencies map<string,string>, devDependencies map<string,string>, _corrupt string"
-)
-
+_PACKAGE_JSON = "dependencies map<string,string>, devDependencies map<string,string>, _corrupt string"
 
-def _at_root(files: DataFrame, name: str) -> DataFrame:
-    return files.where(F.col("path") == name).select("repo", "content")
+# Where each ecosystem's manifests are; only package.json has alternatives.
+_PATHS = {
+    "js": stacks.PACKAGE_JSON_PATHS,
+    "py": ("requirements.txt", "pyproject.toml"),
+    "go": ("go.mod",),
+    "cargo": ("Cargo.toml",),
+}
 
 
-def package_json_deps(files: DataFrame) -> DataFrame:
-    """JavaScript dependencies of the first package.json that can be read; dev versions win."""
-    places = {path: i for i, path in enumerate(stacks.PACKAGE_JSON_PATHS)}
-    place = F.coalesce(*[F.when(F.col("path") == p, F.lit(i)) for p, i in places.items()])
-    parsed = F.from_json("content", _PACKAGE_JSON, {
-        "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false",
-    })
-    empty = F.create_map().cast("map<string,string>")
-    readable = (
-        files.where(F.col("path").isin(*places))
-        .select("repo", place.alias("place"), "content", parsed.alias("json"))
-        .where(F.col("json._corrupt").isNull() & F.col("content").rlike(r"^\s*\{"))
-        .select("repo", "place",
-                F.coalesce("json.dependencies", empty).alias("deps"),
-                F.coalesce("json.devDependencies", empty).alias("dev"))
-    )
-    merged = F.map_concat(
-        F.map_filter("deps", lambda name, _: ~F.map_contains_key(F.col("dev"), name)), F.col("dev"))
-    first = (
-        readable.select("repo", "place", F.map_entries(merged).alias("entries"))
-        .groupBy("repo").agg(F.min_by("entries", "place").alias("entries"))
-    )
-    return first.select("repo", F.explode("entries").alias("e")).select(
-        "repo", F.lit("js").alias("ecosystem"), F.col("e.key").alias("name"), F.col("e.value").alias("version"))
-
+def _package_json(content: Column) -> Column:
+    """Names and versions, dev versions first; null where the text is no such object."""
+    parsed = F.from_json(content, _PACKAGE_JSON, {
+        "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"})
+    none = F.create_map().cast("map<string,string>")
 
-def _named(df: DataFrame, ecosystem: str, names: Column) -> DataFrame:
-    return df.select("repo", F.lit(ecosystem).alias("ecosystem"), F.explode(names).alias("name"),
-                     F.lit("*").alias("version"))
+    def merge(json: Column) -> Column:
+        deps, dev = (F.coalesce(json[name], none) for name in ("dependencies", "devDependencies"))
+        # Both lambdas below use the maps, so they are bound in one struct first.
+        pair = F.array(F.struct(deps.alias("deps"), dev.alias("dev")))
+        merged = F.element_at(F.transform(pair, lambda p: F.map_concat(
+            F.map_filter(p["deps"], lambda name, _: ~F.map_contains_key(p["dev"], name)), p["dev"])), 1)
+        return F.transform(F.map_entries(merged), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("version")))
 
+    readable = content.rlike(r"^\s*\{")
+    rows = F.element_at(F.transform(F.array(parsed), lambda json: F.when(json["_corrupt"].isNull(), merge(json))), 1)
+    return F.when(readable, rows)
 
-def python_deps(files: DataFrame, compatible_operator: bool = False) -> DataFrame:
-    """requirements.txt lines and quoted pyproject.toml names, lower case, once each.
 
-    ``compatible_operator`` also cuts at ``~`` so that ``x~=1`` gives ``x``.
-    """
+def _requirements(content: Column, compatible_operator: bool) -> Column:
     cut = stacks.REQUIREMENT_CUT.replace("[>", "[~>", 1) if compatible_operator else stacks.REQUIREMENT_CUT
-    stripped = F.transform(text.lines(F.col("content")), text.strip)
+    stripped = F.transform(text.lines(content), text.strip)
     kept = F.filter(stripped, lambda s: (s != "") & ~s.startswith("#") & ~s.startswith("-"))
     names = F.transform(kept, lambda s: F.lower(text.strip(F.get(F.split(s, cut, 2), F.lit(0)))))
-    requirements = _named(_at_root(files, "requirements.txt"), "py", F.filter(names, lambda n: n != ""))
-    quoted = F.transform(F.regexp_extract_all("content", F.lit(stacks.PYPROJECT_NAME), 1), F.lower)
-    pyproject = _named(_at_root(files, "pyproject.toml"), "py", quoted)
-    return requirements.unionByName(pyproject).distinct()
+    return F.filter(names, lambda n: n != "")
 
 
-def go_deps(files: DataFrame) -> DataFrame:
-    """Module paths of go.mod lines whose first word holds a slash."""
-    stripped = F.transform(text.lines(F.col("content")), text.strip)
+def _pyproject(content: Column) -> Column:
+    return F.transform(F.regexp_extract_all(content, F.lit(stacks.PYPROJECT_NAME), 1), F.lower)
+
+
+def _go_mod(content: Column) -> Column:
+    stripped = F.transform(text.lines(content), text.strip)
     kept = F.filter(stripped, lambda s: ~s.rlike("^(module|go |//)"))
-    first = F.transform(kept, lambda s: F.get(F.split(s, r"(?U)\s+", 2), F.lit(0)))
-    return _named(_at_root(files, "go.mod"), "go", F.array_distinct(F.filter(first, lambda w: w.contains("/"))))
+    first = F.transform(kept, lambda s: F.get(F.split(s, "(?U)" + to_java(r"\s+"), 2), F.lit(0)))
+    return F.filter(first, lambda w: w.contains("/"))
 
 
-def cargo_deps(files: DataFrame) -> DataFrame:
-    """Keys of every ``[…dependencies…]`` section of Cargo.toml."""
-    lines = text.lines(F.col("content"))
-    # The section head above a line tells whether it counts: fold over the lines.
+def _cargo_toml(content: Column) -> Column:
+    """Keys below a ``[…dependencies…]`` head: a fold over the lines remembers the head."""
     start = F.struct(F.lit(False).alias("on"), F.array().cast("array<string>").alias("keys"))
 
-    def step(state: Column, line: Column) -> Column:
-        key = F.regexp_extract(line, "(?U)" + stacks.CARGO_KEY, 1)
+    def state(on: Column, keys: Column) -> Column:
+        return F.struct(on.alias("on"), keys.alias("keys"))
+
+    def step(before: Column, line: Column) -> Column:
+        key = F.regexp_extract(line, "(?U)" + to_java(stacks.CARGO_KEY), 1)
         return (
-            F.when(line.rlike("(?d)" + stacks.CARGO_SECTION), F.struct(F.lit(True).alias("on"), state["keys"].alias("keys")))
-            .when(state["on"] & line.startswith("["), F.struct(F.lit(False).alias("on"), state["keys"].alias("keys")))
-            .when(state["on"] & (key != ""), F.struct(state["on"].alias("on"), F.array_append(state["keys"], key).alias("keys")))
-            .otherwise(state)
+            F.when(line.rlike("(?d)" + stacks.CARGO_SECTION), state(F.lit(True), before["keys"]))
+            .when(before["on"] & line.startswith("["), state(F.lit(False), before["keys"]))
+            .when(before["on"] & (key != ""), state(before["on"], F.array_append(before["keys"], key)))
+            .otherwise(before)
         )
 
-    relevant = F.filter(lines, lambda line: line.startswith("[") | line.contains("="))
-    names = F.aggregate(relevant, start, step, lambda state: F.array_distinct(state["keys"]))
-    return _named(_at_root(files, "Cargo.toml"), "cargo", names)
+    relevant = F.filter(text.lines(content), lambda line: line.startswith("[") | line.contains("="))
+    return F.aggregate(relevant, start, step, lambda last: last["keys"])
+
 
+def dependencies(files: DataFrame, ecosystems: Sequence[str] = tuple(_PATHS),
+                 compatible_operator: bool = False) -> DataFrame:
+    """One row per repository, ecosystem and name.
 
-def dependencies(files: DataFrame) -> DataFrame:
-    """All ecosystems, one row per repository, ecosystem and name."""
+    JavaScript names come from the first package.json that can be read. With
+    ``compatible_operator`` requirement lines are also cut at ``~`` (``x~=1`` gives ``x``).
+    """
+    path, content = F.col("path"), F.col("content")
+    place = F.array_position(F.array(*[F.lit(p) for p in stacks.PACKAGE_JSON_PATHS]), path)
+
+    def any_version(names: Column) -> Column:
+        return F.transform(F.array_distinct(names), lambda n: F.struct(n.alias("name"), F.lit("*").alias("version")))
+
+    parsed = (
+        F.when(place > 0, _package_json(content))
+        .when(path == "requirements.txt", any_version(_requirements(content, compatible_operator)))
+        .when(path == "pyproject.toml", any_version(_pyproject(content)))
+        .when(path == "go.mod", any_version(_go_mod(content)))
+        .when(path == "Cargo.toml", any_version(_cargo_toml(content)))
+    )
+    ecosystem = F.element_at(F.create_map(*[
+        F.lit(x) for name, paths in _PATHS.items() for p in paths for x in (p, name)]), path)
+    manifests = (
+        files.where(path.isin(*[p for name in ecosystems for p in _PATHS[name]]))
+        .select("repo", ecosystem.alias("ecosystem"), F.when(place > 0, "package.json").otherwise(path).alias("manifest"),
+                place.alias("place"), parsed.alias("entries"))
+        .where(F.col("entries").isNotNull())
+    )
+    chosen = manifests.groupBy("repo", "ecosystem", "manifest").agg(F.min_by("entries", "place").alias("entries"))
     return (
-        package_json_deps(files).unionByName(python_deps(files))
-        .unionByName(go_deps(files)).unionByName(cargo_deps(files))
+        chosen.select("repo", "ecosystem", F.inline("entries"))
+        .groupBy("repo", "ecosystem", "name").agg(F.first("version").alias("version"))
     )
 
 
+def package_json_deps(files: DataFrame) -> DataFrame:
+    return dependencies(files, ("js",))
+
+
+def python_deps(files: DataFrame, compatible_operator: bool = False) -> DataFrame:
+    return dependencies(files, ("py",), compatible_operator)
+
+
+def go_deps(files: DataFrame) -> DataFrame:
+    return dependencies(files, ("go",))
+
+
+def cargo_deps(files: DataFrame) -> DataFrame:
+    return dependencies(files, ("cargo",))
+
+
 def merged_dependencies(deps: DataFrame) -> DataFrame:
     """One row per repository and name; a name outside JavaScript takes the version ``*``."""
     return deps.groupBy("repo", "name").agg(

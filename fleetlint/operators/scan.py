@@ -70,7 +70,7 @@ def scan(files: DataFrame, rules: Sequence[Rule], match_chars: int = MATCH_CHARS
     by_path = by_path.where(reduce(lambda a, b: a | b, [eligible[k]() for k in kinds]))
     if max_chars is not None:
         by_path = by_path.where(F.length("content") <= max_chars)
-    texts = by_path.where(F.col("content").isNotNull()).select(
+    texts = by_path.select(
         *dict.fromkeys(["repo", "path", "suffix", *carry]), "test_langs", "content",
         F.lower("content").alias("_lower"),
         regex.has_odd_letters(F.col("content")).alias("_odd"),
@@ -84,9 +84,7 @@ def scan(files: DataFrame, rules: Sequence[Rule], match_chars: int = MATCH_CHARS
         if rule.kind == "critical_path":
             return " AND ".join(tests + [regex.any_word("lower(path)", rule.needs[0]),
                                          regex.any_word("_lower", rule.needs[0])])
-        gate = regex.may_match(rule)
-        if gate is not None:
-            tests.append(gate)
+        tests.append(regex.may_match(rule) or "content IS NOT NULL")
         if rule.exists_only:
             tests.append(regex.found_in(rule))
         return " AND ".join(tests)

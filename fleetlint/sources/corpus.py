@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlint.catalog.paths import IMAGE_SUFFIXES
 from fleetlint.functions import text
+from fleetlint.plans.storage import materialise
 
 FILE_COLUMNS = ("repo", "path", "name", "stem", "suffix", "dirs", "size_bytes", "content")
 
@@ -28,36 +33,110 @@ def files_from_rows(df: DataFrame) -> DataFrame:
     return with_path_parts(df).select(*FILE_COLUMNS)
 
 
-def read_tree(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """Files below ``root/<repo>/…``; the first folder names the repository.
+def list_tree(spark: SparkSession, root: str, prune: Sequence[str] = ()) -> DataFrame:
+    """``repo, path, size_bytes`` of all files below ``root/<repo>/…``, hidden ones included.
 
-    Unreadable files are skipped. Bytes are fetched only by plans that use
-    ``content``: a plan over sizes or paths reads the listing alone.
+    Spark's own file sources skip names that start with a dot or an underscore, which
+    would lose ``.env``, ``.gitignore`` and ``__init__.py``. So folders are listed by
+    tasks, one level of all repositories at a time: a huge repository is spread over as
+    many tasks as it has folders. Folders named in ``prune`` are not entered.
     """
-    reader = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreCorruptFiles", "true")
-        .option("ignoreMissingFiles", "true")
-    )
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    base = root.rstrip("/") + "/"
-    below = F.element_at(F.split(F.col("path"), _quote(base), 2), -1)
-    raw = reader.load(base).select(
-        below.alias("_below"), F.col("length").alias("size_bytes"),
-        text.decode_text(F.col("content")).alias("content"),
-    )
-    rows = raw.select(
-        F.substring_index("_below", "/", 1).alias("repo"),
-        F.regexp_replace("_below", r"^[^/]*/", "").alias("path"),
-        "size_bytes", "content",
-    )
-    return with_path_parts(rows).select(*FILE_COLUMNS)
-
-
-def _quote(literal: str) -> str:
-    return "\\Q" + literal.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+    root = root.rstrip("/")
+    folders = spark.createDataFrame([("",)], "folder string")
+    levels = []
+    while True:
+        found = materialise(folders.mapInArrow(_list_folders(root, tuple(prune)), _ENTRY_SCHEMA), "listing")
+        levels.append(found.where(~F.col("is_dir") & F.col("entry").contains("/")))
+        deeper = found.where("is_dir").select(F.col("entry").alias("folder"))
+        count = deeper.count()
+        if count == 0:
+            break
+        folders = deeper.repartition(min(count, 4 * spark.sparkContext.defaultParallelism), "folder")
+    files = reduce(DataFrame.unionByName, levels)
+    return files.select(
+        F.substring_index("entry", "/", 1).alias("repo"),
+        F.regexp_replace("entry", r"^[^/]*/", "").alias("path"), "size_bytes")
+
+
+def read_tree(spark: SparkSession, root: str, prune: Sequence[str] = ()) -> DataFrame:
+    """The ``files`` table of a folder of repositories; the first folder names the repository.
+
+    Images keep their size but no text. Files that cannot be read are left out, bytes
+    that are no UTF-8 are dropped. Reading is shared among tasks by path, so no task
+    depends on how the files are spread over repositories.
+    """
+    root = root.rstrip("/")
+    listed = list_tree(spark, root, prune)
+    image = text.suffix(text.file_name(F.col("path"))).isin(*IMAGE_SUFFIXES)
+    images = listed.where(image).select("repo", "path", "size_bytes", F.lit(None).cast("string").alias("content"))
+    parts = max(spark.sparkContext.defaultParallelism, listed.rdd.getNumPartitions())
+    raw = listed.where(~image).repartition(parts, "repo", "path").mapInArrow(_read_files(root), _RAW_SCHEMA)
+    texts = raw.select("repo", "path", "size_bytes", text.decode_text(F.col("raw")).alias("content"))
+    return with_path_parts(images.unionByName(texts)).select(*FILE_COLUMNS)
+
+
+_ENTRY_SCHEMA = "entry string, is_dir boolean, size_bytes bigint"
+_RAW_SCHEMA = "repo string, path string, size_bytes bigint, raw binary"
+_BATCH_BYTES = 32 << 20
+
+
+def _list_folders(root: str, prune: tuple[str, ...]):
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                try:
+                    infos = system.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base))
+                except OSError:
+                    continue
+                rows = [(f"{folder}/{i.base_name}" if folder else i.base_name, i.type == fs.FileType.Directory, i.size)
+                        for i in infos if i.base_name not in prune]
+                yield pa.RecordBatch.from_pydict({
+                    "entry": pa.array([r[0] for r in rows], pa.string()),
+                    "is_dir": pa.array([r[1] for r in rows], pa.bool_()),
+                    "size_bytes": pa.array([r[2] for r in rows], pa.int64())})
+
+    return run
+
+
+def _read_files(root: str):
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+
+        def flush(rows):
+            return pa.RecordBatch.from_pydict({
+                "repo": pa.array([r[0] for r in rows], pa.string()), "path": pa.array([r[1] for r in rows], pa.string()),
+                "size_bytes": pa.array([r[2] for r in rows], pa.int64()), "raw": pa.array([r[3] for r in rows], pa.binary())})
+
+        rows, held = [], 0
+        for batch in batches:
+            for repo, path, size in zip(*(batch.column(c).to_pylist() for c in ("repo", "path", "size_bytes"))):
+                try:
+                    with system.open_input_stream(f"{base}/{repo}/{path}", compression=None) as stream:
+                        raw = stream.read()
+                except OSError:
+                    continue
+                rows.append((repo, path, size, raw))
+                held += len(raw)
+                if held >= _BATCH_BYTES:
+                    yield flush(rows)
+                    rows, held = [], 0
+        if rows:
+            yield flush(rows)
+
+    return run
+
+
+def write_table(files: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Store a ``files`` table. Rows are sorted by suffix and path within each file, so
+    the many plans that read a few suffixes or one file name skip most row groups."""
+    files.sortWithinPartitions("suffix", "name", "path").write.mode(mode).parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -68,15 +147,3 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def files_from_texts(df: DataFrame, repo: Column, path: Column, content: Column) -> DataFrame:
     """Any text table (documents, pages, chat turns) as a corpus."""
     return files_from_rows(df.select(repo.alias("repo"), path.alias("path"), content.alias("content")))
-
-
-def spread(files: DataFrame) -> DataFrame:
-    """Share a table with fewer splits than cores among all cores.
-
-    The scans are bound by processor time, so a small input in one split would keep
-    one core busy. A table with enough splits is left alone: its texts never shuffle.
-    """
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    if files.rdd.getNumPartitions() >= 2 * cores:
-        return files
-    return files.repartition(2 * cores, "repo", "path")

@@ -37,17 +37,16 @@ def test_slugify(spark):
 
 
 def test_read_tree(spark, tmp_path):
-    for path, body in {"one/src/a.py": b"x = 1\r\ny", "one/.env": b"K=1", "two.x/deep/er/b.js": b"\xfe\xffz", "two.x/c.png": b"1234"}.items():
+    for path, body in {"one/src/__init__.py": b"x = 1\r\ny", "one/.env": b"K=1", "two.x/deep/er/b.js": b"\xfe\xffz",
+                       "two.x/c.png": b"1234", "two.x/node_modules/m.js": b"", "stray.txt": b"no repository"}.items():
         target = tmp_path / path
         target.parent.mkdir(parents=True, exist_ok=True)
         target.write_bytes(body)
-    files = corpus.read_tree(spark, str(tmp_path))
-    rows = sorted((r.repo, r.path, r.suffix, r.size_bytes, r.content) for r in files.collect())
-    assert rows == [("one", ".env", "", 3, "K=1"), ("one", "src/a.py", ".py", 8, "x = 1\ny"),
-                    ("two.x", "c.png", ".png", 4, "1234"), ("two.x", "deep/er/b.js", ".js", 3, "z")]
-    plan = files.select("repo", "size_bytes")._jdf.queryExecution().executedPlan().toString()
-    assert "content" not in plan.split("ReadSchema")[1]
-    assert corpus.read_tree(spark, str(tmp_path), "*.py").count() == 1
+    files = corpus.read_tree(spark, str(tmp_path), prune=("node_modules",))
+    rows = sorted((r.repo, r.path, r.suffix, r.size_bytes, r.content or "") for r in files.collect())
+    assert rows == [("one", ".env", "", 3, "K=1"), ("one", "src/__init__.py", ".py", 8, "x = 1\ny"),
+                    ("two.x", "c.png", ".png", 4, ""), ("two.x", "deep/er/b.js", ".js", 3, "z")]
+    assert corpus.list_tree(spark, str(tmp_path)).count() == 5
 
 
 def test_suffix_filter_reaches_the_stored_table(spark, make_files, tmp_path):
