@@ -16,6 +16,7 @@ from fleetlint.operators import (
     cost, dependencies, knowledge, manifests, packs, performance, report, scan, security, stack, testing, walk,
 )
 from fleetlint.plans.fleet import FleetScan
+from fleetlint.plans.storage import materialise
 from fleetlint.sources.corpus import files_from_texts
 from fleetlint.streaming import rate_limit, rescan, run
 
@@ -45,6 +46,11 @@ def documents(spark, sf_dir, columns=("source",)):
     return files_from_texts(docs, F.col("source"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")), F.col("text"))
 
 
+def _fleet(spark, sf_dir, **options):
+    """The whole analysis over a stored corpus, as it runs on a cluster."""
+    return FleetScan(materialise(corpus.files(spark, sf_dir), "files"), **options)
+
+
 def as_text_rules(rules):
     """The same rules for any text, whatever its path."""
     return tuple(replace(r, kind="text", extensions=None) for r in rules)
@@ -305,7 +311,7 @@ def missing_opts(spark, sf_dir):
 
 @query
 def performance_rollup(spark, sf_dir):
-    fleet = FleetScan(corpus.files(spark, sf_dir))
+    fleet = _fleet(spark, sf_dir)
     found = fleet.bundle.select("repo", "type").unionByName(fleet.images.select("repo", "type")).unionByName(
         fleet.missing_optimizations.select("repo", "type"))
     return performance.performance_summary(fleet.repos, found)
@@ -416,15 +422,14 @@ def test_antipatterns(spark, sf_dir):
 
 @query
 def untested_critical(spark, sf_dir):
-    return FleetScan(corpus.files(spark, sf_dir), max_files=None, rules=testing.CRITICAL_RULES).untested.select(
+    return _fleet(spark, sf_dir, max_files=None, rules=testing.CRITICAL_RULES).untested.select(
         "repo", "category", "file")
 
 
 @query
 def test_rollup(spark, sf_dir):
-    fleet = FleetScan(corpus.files(spark, sf_dir), max_files=None, rules=testing.CRITICAL_RULES + R.TEST_SMELLS)
-    tools = stack.toolchain(stack.root_profile(fleet.files))
-    return testing.test_summary(fleet.test_counts, tools, fleet.untested, fleet.smells).select(
+    fleet = _fleet(spark, sf_dir, max_files=None, rules=testing.CRITICAL_RULES + R.TEST_SMELLS)
+    return testing.test_summary(fleet.test_counts, fleet.stack, fleet.untested, fleet.smells).select(
         "repo", "source_file_count", "test_file_count", "untested_critical_paths", "test_anti_patterns",
         joined("test_runners"), "total_findings")
 
@@ -434,7 +439,7 @@ def test_rollup(spark, sf_dir):
 
 @query
 def findings_union(spark, sf_dir):
-    found = FleetScan(corpus.files(spark, sf_dir)).findings
+    found = _fleet(spark, sf_dir).findings
     blank = [F.coalesce(c, F.lit("")).alias(c) for c in
              ("type", "rule", "category", "file", "package", "service_id", "secret_type", "trap")]
     return found.select("repo", "layer", "severity", F.coalesce("line", F.lit(0)).alias("line"), *blank)
@@ -442,7 +447,7 @@ def findings_union(spark, sf_dir):
 
 @query
 def severity_rollup(spark, sf_dir):
-    return report.severity_counts(FleetScan(corpus.files(spark, sf_dir)).findings)
+    return report.severity_counts(_fleet(spark, sf_dir).findings)
 
 
 def _row_shape(rows, *extra):
@@ -453,31 +458,31 @@ def _row_shape(rows, *extra):
 
 @query
 def report_capped(spark, sf_dir):
-    fleet = FleetScan(corpus.files(spark, sf_dir))
+    fleet = _fleet(spark, sf_dir)
     rows = report.report_rows(fleet.stored_findings)
     return rows.groupBy("repo", "severity", "layer").agg(F.count("*").alias("shown"), F.max("more").alias("more"))
 
 
 @query
 def task_queue(spark, sf_dir):
-    rows = report.task_queue(FleetScan(corpus.files(spark, sf_dir)).tasks)
+    rows = report.task_queue(_fleet(spark, sf_dir).tasks)
     return rows.groupBy("repo", "severity_rank", "severity", "category").agg(
         F.count("*").alias("shown"), F.max("more").alias("more"))
 
 
 @query
 def scan_summary(spark, sf_dir):
-    return report.scan_summary(FleetScan(corpus.files(spark, sf_dir)).summaries)
+    return report.scan_summary(_fleet(spark, sf_dir).summaries)
 
 
 @query
 def plan_header(spark, sf_dir):
-    return report.plan_header(FleetScan(corpus.files(spark, sf_dir)).summaries)
+    return report.plan_header(_fleet(spark, sf_dir).summaries)
 
 
 @query
 def critical_gate(spark, sf_dir):
-    return report.critical_gate(FleetScan(corpus.files(spark, sf_dir)).findings)
+    return report.critical_gate(_fleet(spark, sf_dir).findings)
 
 
 def _two_states(spark, sf_dir):

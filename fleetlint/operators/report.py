@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetlint.functions.tables import sql_literal
 from fleetlint.functions.text import path_order
 from fleetlint.plans.skew import top_k
 
@@ -39,11 +40,8 @@ _FIELDS = [tuple(field.split(" ", 1)) for field in FINDING_SCHEMA.replace(", ",
 
 def as_findings(df: DataFrame, layer: str) -> DataFrame:
     """Bring one detector's rows to the common schema; unused fields are null."""
-    have = set(df.columns) | {"layer"}
-    df = df.withColumn("layer", F.lit(layer))
-    return df.select(*[
-        (F.col(name) if name in have else F.lit(None)).cast(kind).alias(name) for name, kind in _FIELDS
-    ])
+    have = {name: f"`{name}`" for name in df.columns} | {"layer": sql_literal(layer)}
+    return df.selectExpr(*[f"CAST({have.get(name, 'NULL')} AS {kind}) AS {name}" for name, kind in _FIELDS])
 
 
 def union_findings(layers: Mapping[str, list[DataFrame]]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlint.catalog import paths, stacks
+from fleetlint.functions.tables import sql_literal
 from fleetlint.operators.walk import not_below, root_entries, strings
 
 
@@ -18,8 +19,8 @@ def suffix_counts(files: DataFrame) -> DataFrame:
 
 
 def _language_of(suffix: Column) -> Column:
-    pairs = [F.lit(x) for pair in stacks.SUFFIX_LANGUAGE.items() for x in pair]
-    return F.element_at(F.create_map(*pairs), suffix)
+    names = F.map_from_arrays(strings(list(stacks.SUFFIX_LANGUAGE)), strings(list(stacks.SUFFIX_LANGUAGE.values())))
+    return F.element_at(names, suffix)
 
 
 def _has_ending(language: str) -> Column:
@@ -53,20 +54,19 @@ def languages(files: DataFrame) -> DataFrame:
     entries = F.coalesce(F.col("entries"), strings(()))
 
     def row(order: int, name: str) -> Column:
-        marked = F.arrays_overlap(entries, strings(stacks.LANGUAGE_MARKERS.get(name, ())))
+        has_marker = F.arrays_overlap(entries, strings(stacks.LANGUAGE_MARKERS.get(name, ())))
         if name in stacks.LANGUAGE_MARKER_ENDINGS:
-            marked = marked | F.col(f"_{name}")
+            has_marker = has_marker | F.col(f"_{name}")
         return F.struct(
             (-F.col(name)).alias("_rank"), F.lit(order).alias("_order"), F.lit(name).alias("name"),
-            F.col(name).alias("file_count"), marked.alias("has_marker"),
-            F.when(marked | (F.col(name) > stacks.CONFIDENT_FILE_COUNT), "high").otherwise("low").alias("confidence"),
-        )
+            F.col(name).alias("file_count"), has_marker.alias("has_marker"))
 
     table = F.array(*[row(i, name) for i, name in enumerate(stacks.LANGUAGES)])
     ordered = F.array_sort(F.filter(table, lambda r: r["file_count"] > 0))
     shown = F.transform(ordered, lambda r: F.struct(
-        r["name"].alias("name"), r["file_count"].alias("file_count"),
-        r["has_marker"].alias("has_marker"), r["confidence"].alias("confidence")))
+        r["name"].alias("name"), r["file_count"].alias("file_count"), r["has_marker"].alias("has_marker"),
+        F.when(r["has_marker"] | (r["file_count"] > stacks.CONFIDENT_FILE_COUNT), "high").otherwise("low")
+        .alias("confidence")))
     return (
         counts.join(root_profile(files), "repo", "left")
         .select("repo", shown.alias("languages"))
@@ -91,10 +91,9 @@ def language_table(languages_df: DataFrame) -> DataFrame:
 
 
 def _dep_markers() -> Column:
-    return F.array(*[
-        F.struct(F.lit(i).alias("ord"), F.lit(name).alias("framework"), F.lit(part).alias("part"))
-        for i, (name, (parts, _)) in enumerate(stacks.FRAMEWORKS.items()) for part in parts
-    ])
+    return F.expr("array(" + ", ".join(
+        f"named_struct('ord', {i}, 'framework', {sql_literal(name)}, 'part', {sql_literal(part)})"
+        for i, (name, (parts, _)) in enumerate(stacks.FRAMEWORKS.items()) for part in parts) + ")")
 
 
 def _tools(table: dict, entries: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlint.catalog import paths, stacks, testing
+from fleetlint.functions.tables import sql_literal
 from fleetlint.functions.text import path_order
 from fleetlint.plans.skew import top_k
 
@@ -17,7 +18,8 @@ TEST_SUFFIXES = (".js", ".jsx", ".ts", ".tsx", ".py", ".go", ".rs", ".php", ".rb
 
 
 def strings(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    """A constant array, as one parsed text."""
+    return F.expr(f"CAST({sql_literal(tuple(values))} AS array<string>)")
 
 
 def not_below(names: Sequence[str], dirs: Column | None = None) -> Column:

@@ -21,8 +21,8 @@ ALL_RULES = PATTERN_RULES + SECRETS + AUTH + TRAPS + SERVICE_RULES + TEST_SMELLS
 class FleetScan:
     """Lazy tables of all seven layers over one ``files`` table.
 
-    ``hits`` (one pass over all texts with every rule) and ``deps`` are written to the
-    shared folder on first use, since several layers read them.
+    ``hits`` (one pass over all texts with every rule), ``deps`` and ``stack`` are written
+    to the shared folder on first use, since several layers read them.
     """
 
     def __init__(self, files: DataFrame, max_files: int | None = paths.MAX_FILES, dedupe: bool = False,
@@ -46,7 +46,7 @@ class FleetScan:
 
     @cached_property
     def repos(self) -> DataFrame:
-        return self.files.select("repo").distinct()
+        return self.stack.select("repo")
 
     @cached_property
     def merged_deps(self) -> DataFrame:
@@ -54,11 +54,12 @@ class FleetScan:
 
     @cached_property
     def language_names(self) -> DataFrame:
-        return stack.language_names(self.files)
+        """What most layers need of the stack."""
+        return self.stack.select("repo", F.transform("languages", lambda x: x["name"]).alias("language_names"))
 
     @cached_property
     def stack(self) -> DataFrame:
-        return stack.stack(self.files, self.deps)
+        return materialise(stack.stack(self.files, self.deps), "stack")
 
     @cached_property
     def dependency_findings(self) -> DataFrame:
@@ -147,7 +148,7 @@ class FleetScan:
             security.security_summary(self.repos, layer["security"]),
             cost.cost_summary(self.repos, kind["cost_service"], kind["scaling_trap"]),
             performance.performance_summary(self.repos, layer["performance"]),
-            testing.test_summary(self.test_counts, stack.toolchain(stack.root_profile(self.files)),
+            testing.test_summary(self.test_counts, self.stack,
                                  kind["untested_critical_path"], kind["test_anti_pattern"]),
             layer["patterns"])
 
