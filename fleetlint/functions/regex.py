@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,7 +58,42 @@ def to_java(pattern: str) -> str:
 
 def java_pattern(rule: Rule) -> str:
     flags = ("i" if rule.ignore_case else "") + ("m" if rule.multiline else "")
-    return f"(?{flags}dU)" + to_java(rule.pattern)
+    return f"(?{flags}dU)" + to_java(rule.jvm or rule.pattern)
+
+
+def repeats_group(pattern: str) -> bool:
+    """True when a group may repeat without bound (see ``jvm`` of a rule)."""
+    plain = re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", "x", pattern, flags=re.S)
+    return re.search(r"\)(?:[*+]|\{\d*,\})", plain) is not None
+
+
+def runs_in_jvm(rule: Rule) -> bool:
+    return bool(rule.jvm) or not repeats_group(rule.pattern)
+
+
+def python_matches(rules: Sequence[Rule], match_chars: int):
+    """Matches by Python's engine, which keeps repetitions on the heap, in Arrow batches."""
+    compiled = [
+        (re.compile(r.pattern, (re.I if r.ignore_case else 0) | (re.M if r.multiline else 0)), r.exists_only)
+        for r in rules
+    ]
+
+    def rows(index: int, text: str) -> list[tuple]:
+        pattern, exists_only = compiled[index]
+        if exists_only:
+            return [(None, None, None)] if pattern.search(text) else []
+        found, line, last = [], 1, 0
+        for m in pattern.finditer(text):
+            line += text.count("\n", last, m.start())
+            last = m.start()
+            found.append((line, m.group(0)[:match_chars], m.group(0)[-TAIL_CHARS:]))
+        return found
+
+    @F.pandas_udf("array<struct<line:int,match:string,match_end:string>>")
+    def match(index: pd.Series, text: pd.Series) -> pd.Series:
+        return pd.Series([rows(i, t) for i, t in zip(index, text)], dtype=object)
+
+    return match
 
 
 def has_odd_letters(text: Column) -> Column:

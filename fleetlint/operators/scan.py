@@ -85,30 +85,43 @@ def scan(files: DataFrame, rules: Sequence[Rule], match_chars: int = MATCH_CHARS
             return " AND ".join(tests + [regex.any_word("lower(path)", rule.needs[0]),
                                          regex.any_word("_lower", rule.needs[0])])
         tests.append(regex.may_match(rule) or "content IS NOT NULL")
-        if rule.exists_only:
+        if rule.exists_only and regex.runs_in_jvm(rule):
             tests.append(regex.found_in(rule))
         return " AND ".join(tests)
 
-    candidates = F.expr("array_compact(array(" + ", ".join(
-        f"CASE WHEN {wanted(rule)} THEN {i} END" for i, rule in enumerate(rules)) + "))")
-    pairs = texts.select("repo", "path", *carry, "test_langs", "content", F.explode(candidates).alias("rule_ix"))
-
-    scanned = [(i, rule) for i, rule in enumerate(rules) if not rule.exists_only]
+    def pairs(chosen) -> DataFrame:
+        candidates = F.expr("array_compact(array(" + ", ".join(
+            f"CASE WHEN {wanted(rule)} THEN {i} END" for i, rule in chosen) + "))")
+        return texts.select("repo", "path", *carry, "test_langs", "content", F.explode(candidates).alias("rule_ix"))
+
+    numbered = list(enumerate(rules))
+    native = [(i, rule) for i, rule in numbered if regex.runs_in_jvm(rule)]
+    in_python = [(i, rule) for i, rule in numbered if not regex.runs_in_jvm(rule)]
+    keep = ["repo", "path", *carry, "test_langs", "rule_ix"]
+    branches = []
+    if native:
+        branches.append(_native_hits(pairs(native), native, keep, match_chars))
+    if in_python:
+        # Only rules of user packs that repeat a group and state no form for the JVM.
+        position = F.array_position(F.array(*[F.lit(i) for i, _ in in_python]), F.col("rule_ix")) - 1
+        match = regex.python_matches([rule for _, rule in in_python], match_chars)
+        branches.append(pairs(in_python).select(*keep, F.inline(match(position, F.col("content")))))
+    return reduce(DataFrame.unionByName, branches)
+
+
+def _native_hits(pairs: DataFrame, rules, keep: Sequence[str], match_chars: int) -> DataFrame:
     nothing = F.array(F.struct(
         F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("match"),
         F.lit(None).cast("string").alias("match_end")))
+    scanned = [(i, rule) for i, rule in rules if not rule.exists_only]
     if not scanned:
-        found = nothing
-        hits = pairs
-    else:
-        pieces = F.expr("CASE rule_ix " + " ".join(
-            f"WHEN {i} THEN {regex.match_pieces(rule)}" for i, rule in scanned) + " END")
-        hits = pairs.select("repo", "path", *carry, "test_langs", "rule_ix", pieces.alias("_pieces"))
-        found = F.when(F.col("_pieces").isNull(), nothing).otherwise(
-            regex.match_rows(F.col("_pieces"), match_chars))
+        return pairs.select(*keep, F.inline(nothing))
+    pieces = F.expr("CASE rule_ix " + " ".join(
+        f"WHEN {i} THEN {regex.match_pieces(rule)}" for i, rule in scanned) + " END")
+    found = F.when(F.col("_pieces").isNull(), nothing).otherwise(regex.match_rows(F.col("_pieces"), match_chars))
     # The generator holds the expression itself: on a named column Spark would add a
     # size filter and evaluate the regular expressions twice.
-    return hits.select("repo", "path", *carry, "test_langs", "rule_ix", F.inline(found))
+    return pairs.select(*keep, pieces.alias("_pieces")).select(*keep, F.inline(found))
 
 
 def rule_table(spark, rules: Sequence[Rule]) -> DataFrame:

@@ -10,7 +10,20 @@ from fleetlint.functions.text import file_name
 from fleetlint.operators.walk import not_below, strings
 from fleetlint.plans.skew import join_per_repo
 
-PREVIEW_HEAD = 8  # fixed value: leading characters of a secret that stay visible
+# --- Fixed values -----------------------------------------------------------
+
+PREVIEW_HEAD = 8  # leading characters of a secret that stay visible
+
+# Response headers a site should send. Rows for a report only: a corpus of files holds
+# no responses, so nothing is computed from them.
+ADVISED_HEADERS = (
+    ("x-frame-options", "Pages can be framed by other sites."),
+    ("content-security-policy", "Injected scripts are not held back."),
+    ("strict-transport-security", "A connection can be downgraded."),
+    ("x-content-type-options", "Browsers may guess content types."),
+)
+
+# --- End of fixed values ----------------------------------------------------
 
 
 def mask(match: Column, match_end: Column) -> Column:

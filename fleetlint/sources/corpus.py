@@ -78,6 +78,7 @@ def read_tree(spark: SparkSession, root: str, prune: Sequence[str] = ()) -> Data
 _ENTRY_SCHEMA = "entry string, is_dir boolean, size_bytes bigint"
 _RAW_SCHEMA = "repo string, path string, size_bytes bigint, raw binary"
 _BATCH_BYTES = 32 << 20
+_BATCH_ROWS = 50_000
 
 
 def _list_folders(root: str, prune: tuple[str, ...]):
@@ -92,12 +93,13 @@ def _list_folders(root: str, prune: tuple[str, ...]):
                     infos = system.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base))
                 except OSError:
                     continue
-                rows = [(f"{folder}/{i.base_name}" if folder else i.base_name, i.type == fs.FileType.Directory, i.size)
-                        for i in infos if i.base_name not in prune]
-                yield pa.RecordBatch.from_pydict({
-                    "entry": pa.array([r[0] for r in rows], pa.string()),
-                    "is_dir": pa.array([r[1] for r in rows], pa.bool_()),
-                    "size_bytes": pa.array([r[2] for r in rows], pa.int64())})
+                kept = [i for i in infos if i.base_name not in prune]
+                for start in range(0, len(kept), _BATCH_ROWS):
+                    part = kept[start:start + _BATCH_ROWS]
+                    yield pa.RecordBatch.from_pydict({
+                        "entry": pa.array([f"{folder}/{i.base_name}" if folder else i.base_name for i in part], pa.string()),
+                        "is_dir": pa.array([i.type == fs.FileType.Directory for i in part], pa.bool_()),
+                        "size_bytes": pa.array([i.size for i in part], pa.int64())})
 
     return run
 

@@ -8,8 +8,9 @@ import pytest
 
 from checks.corpus import SNIPPETS
 from fleetlint.catalog.packs import PACKS
-from fleetlint.catalog.rules import AUTH, GENERAL, JAVASCRIPT, PATTERN_RULES, PYTHON, SECRETS, TEST_SMELLS, TRAPS
+from fleetlint.catalog.rules import AUTH, GENERAL, JAVASCRIPT, PATTERN_RULES, PYTHON, SECRETS, TEST_SMELLS, TRAPS, Rule
 from fleetlint.catalog.services import SERVICE_RULES, SERVICES
+from fleetlint.functions import regex
 from fleetlint.operators import scan
 
 RULES = PATTERN_RULES + SECRETS + AUTH + TRAPS + SERVICE_RULES + TEST_SMELLS + tuple(
@@ -161,3 +162,39 @@ def test_too_long_texts_can_be_left_out(spark, make_files):
 
 def test_services_use_one_rule_each():
     assert [r.rule_id for r in SERVICE_RULES] == [s.service_id for s in SERVICES]
+
+
+def test_every_rule_runs_in_the_jvm_without_recursion():
+    assert all(regex.runs_in_jvm(rule) for rule in RULES)
+    assert regex.repeats_group(r"(?:a\s*)+b") and regex.repeats_group("(a){2,}")
+    assert not regex.repeats_group(r"(a)?[)*]\)*(b){2,3}")
+
+
+@pytest.mark.parametrize("rule_id, path, text", [
+    ("no_cache_layer", "a.js", "app.get('/x') " + "find x " * 30_000),
+    ("no_type_hints", "a.py", "def f(self, a" + ", b" * 30_000 + "):"),
+    ("test_implementation", "a.test.js", "jest.fn()" * 30_000),
+    ("useeffect_no_deps", "a.tsx", "useEffect(() => {" + " x\n" * 30_000 + "});"),
+    ("goroutine_no_recover", "a.go", "go func() {" + "\n x" * 30_000),
+    ("mutable_default", "a.py", "def f(" + "a, " * 30_000 + "b=[])"),
+    ("sql_string_format", "a.py", "execute('" + "{} " * 30_000),
+])
+def test_long_repetitions(spark, make_files, rule_id, path, text):
+    rules = [r for r in RULES if r.rule_id == rule_id][:1]
+    row = scan.scan(make_files([("r", path, text)]), rules).collect()
+    assert [(r.line, r.match, r.match_end) for r in row] == list(expected(rules[0], text))
+
+
+def test_repeated_groups_of_other_rules_run_in_python(spark, make_files):
+    rules = [Rule("pattern", "x", "words", "info", r"(?:ab\s*)+c", extensions=(".py",)),
+             Rule("pattern", "x", "seen", "info", r"(?:xy)*z", exists_only=True), GENERAL[4]]
+    texts = {"a.py": "ab ab c\nTODO\nAB c z", "b.js": "xyxyz", "c.py": "ab " * 30_000 + "\nc"}
+    rows = scan.scan(make_files([("r", p, t) for p, t in texts.items()]), rules).collect()
+    got = Counter((r.path, r.rule_ix, r.line, r.match, r.match_end) for r in rows)
+    want = Counter()
+    for path, text in texts.items():
+        for i, rule in enumerate(rules):
+            if rule.extensions is None or path.endswith(rule.extensions):
+                for key, n in expected(rule, text).items():
+                    want[(path, i, *key)] += n
+    assert got == want and len(want) >= 5
