@@ -134,15 +134,15 @@ def toolchain(profile: DataFrame) -> DataFrame:
     )
 
 
-def stack(files: DataFrame, deps: DataFrame) -> DataFrame:
-    """The stack row of every repository.
+def stack(files: DataFrame, deps: DataFrame, languages_df: DataFrame | None = None) -> DataFrame:
+    """The stack row of every repository; ``languages_df`` may be a stored :func:`languages`.
 
     All inputs are grouped by ``repo`` already, so the joins add no shuffle.
     """
     profile = root_profile(files)
     none = strings(())
     return (
-        languages(files)
+        (languages(files) if languages_df is None else languages_df)
         .join(frameworks(deps, profile), "repo", "left")
         .join(toolchain(profile), "repo", "left")
         .join(deps.groupBy("repo").agg(F.count_distinct("name").alias("total_deps")), "repo", "left")

@@ -21,8 +21,8 @@ ALL_RULES = PATTERN_RULES + SECRETS + AUTH + TRAPS + SERVICE_RULES + TEST_SMELLS
 class FleetScan:
     """Lazy tables of all seven layers over one ``files`` table.
 
-    ``hits`` (one pass over all texts with every rule), ``deps`` and ``stack`` are written
-    to the shared folder on first use, since several layers read them.
+    ``hits`` (one pass over all texts with every rule), ``languages``, ``deps`` and
+    ``stack`` are written to the shared folder on first use, since several layers read them.
     """
 
     def __init__(self, files: DataFrame, max_files: int | None = paths.MAX_FILES, dedupe: bool = False,
@@ -46,7 +46,7 @@ class FleetScan:
 
     @cached_property
     def repos(self) -> DataFrame:
-        return self.stack.select("repo")
+        return self.languages.select("repo")
 
     @cached_property
     def merged_deps(self) -> DataFrame:
@@ -55,11 +55,15 @@ class FleetScan:
     @cached_property
     def language_names(self) -> DataFrame:
         """What most layers need of the stack."""
-        return self.stack.select("repo", F.transform("languages", lambda x: x["name"]).alias("language_names"))
+        return self.languages.select("repo", F.transform("languages", lambda x: x["name"]).alias("language_names"))
+
+    @cached_property
+    def languages(self) -> DataFrame:
+        return materialise(stack.languages(self.files), "languages")
 
     @cached_property
     def stack(self) -> DataFrame:
-        return materialise(stack.stack(self.files, self.deps), "stack")
+        return materialise(stack.stack(self.files, self.deps, self.languages), "stack")
 
     @cached_property
     def dependency_findings(self) -> DataFrame:
