@@ -524,6 +524,10 @@ WHERE list_has_any(l.langs, ['javascript', 'typescript'])""")
     for key, source in (("scan_documents", DOCS), ("scan_pages", PAGES)):
         sql[key] = with_ctes(source, hits_sql(queries.TEXT_GENERAL),
                              select="SELECT repo, rule, severity, path AS file, line, match FROM hits")
+    sql["scan_pages_custom"] = with_ctes(PAGES, hits_sql(queries.MARKUP_RULES),
+                                         select="SELECT repo, rule, severity, path AS file, line, match FROM hits")
+    sql["scan_turns_custom"] = with_ctes(TURNS, hits_sql(queries.TURN_RULES),
+                                         select="SELECT repo, rule, path AS file, line, match FROM hits")
     sql["document_secret_counts"] = with_ctes(DOCS, hits_sql(queries.HARDCODED), select="""
 SELECT repo, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning,
   count(*) FILTER (severity = 'info') AS info, count(*) AS total FROM hits GROUP BY repo""")
@@ -616,6 +620,8 @@ GROUP BY ALL""", f"""tasks AS (
   UNION ALL SELECT repo, 5, 'Performance', perf || ' issues', '' FROM wide
   UNION ALL SELECT repo, 6, 'Tests', coverage, test_file_count || '/' || source_file_count || ' ratio' FROM wide
   UNION ALL SELECT repo, 7, 'Patterns', pat || ' findings', '' FROM wide)""", langs, wide)
+    sql["layer_summaries"] = everything("""SELECT repo, total_deps, heavy, deprecated, sec, sec_critical, perf, pat, service_count,
+  scaling_traps, test_file_count, source_file_count FROM wide""", langs, wide)
     sql["plan_header"] = everything("""SELECT repo, primary_language, coalesce(nullif(replace(frameworks, ',', ', '), ''), 'None') AS frameworks,
   sec_critical AS security_critical, risk AS cost_risk, coverage AS test_coverage FROM wide""", langs, wide)
 

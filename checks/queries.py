@@ -285,6 +285,37 @@ def scan_pages(spark, sf_dir):
     return hits.select("repo", "rule", "severity", F.col("path").alias("file"), "line", "match")
 
 
+# A user's own rules are data too. The last one repeats a group without bound.
+MARKUP_RULES = (
+    R.Rule("text", "markup", "inline_script", "warning", r"<script>[^<]*"),
+    R.Rule("text", "markup", "inline_style", "info", r"<style>[^<]*"),
+    R.Rule("text", "markup", "plain_http", "warning", r'href="http://[^"]+"'),
+    R.Rule("text", "markup", "link_list", "info", r"(?:<li><a href=[^>]*>[^<]*</a></li>){2,}"),
+)
+TURN_RULES = (
+    R.Rule("text", "turns", "short_line", "info", r"^[^\n]{1,40}$"),
+    R.Rule("text", "turns", "long_run", "info", r"[^ \n]{18,}"),
+)
+
+
+@query
+def scan_pages_custom(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    files = files_from_texts(pages, F.regexp_extract("url", "^[a-z]+://([^/]+)", 1),
+                             F.concat("page_id", F.lit(".html")), F.col("html"))
+    hits = scan.scan_rules(files, MARKUP_RULES)
+    return hits.select("repo", "rule", "severity", F.col("path").alias("file"), "line", "match")
+
+
+@query
+def scan_turns_custom(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations")
+    files = files_from_texts(turns, F.col("conv_id").cast("string"),
+                             F.concat_ws("_", "role", "turn"), F.col("text"))
+    hits = scan.scan_rules(files, TURN_RULES)
+    return hits.select("repo", "rule", F.col("path").alias("file"), "line", "match")
+
+
 @query
 def scan_conversations(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations")
@@ -475,6 +506,16 @@ def scan_summary(spark, sf_dir):
     return report.scan_summary(_fleet(spark, sf_dir).summaries)
 
 
+@query
+def layer_summaries(spark, sf_dir):
+    return _fleet(spark, sf_dir).summaries.select(
+        "repo", "total_deps", F.col("dep_heavy_count").alias("heavy"), F.col("dep_deprecated_count").alias("deprecated"),
+        F.col("sec_total_findings").alias("sec"), F.col("sec_critical_count").alias("sec_critical"),
+        F.col("perf_total_findings").alias("perf"), F.col("pat_total_findings").alias("pat"),
+        F.col("cost_service_count").alias("service_count"), F.col("cost_scaling_traps").alias("scaling_traps"),
+        F.col("test_test_file_count").alias("test_file_count"), F.col("test_source_file_count").alias("source_file_count"))
+
+
 @query
 def plan_header(spark, sf_dir):
     return report.plan_header(_fleet(spark, sf_dir).summaries)

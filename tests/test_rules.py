@@ -138,6 +138,15 @@ def test_only_the_first_files_are_scanned(spark, make_files):
     assert scan.scan_project(files, names, GENERAL, max_files=None).count() == 6
 
 
+def test_many_large_repositories_join_instead_of_broadcast(spark, make_files, monkeypatch):
+    files = make_files([(repo, f"{i}.py", "TODO") for repo in "abc" for i in range(6)] + [("d", "x.py", "TODO")])
+    broadcast = {tuple(r) for r in scan.mark_first_files(files, 4).select("repo", "path", "in_first").collect()}
+    monkeypatch.setattr(scan, "MAX_BROADCAST_REPOS", 1)
+    joined = {tuple(r) for r in scan.mark_first_files(files, 4).select("repo", "path", "in_first").collect()}
+    assert joined == broadcast and len(joined) == 19
+    assert sum(keep for _, _, keep in joined) == 13
+
+
 def test_scan_does_not_depend_on_partitions(spark, make_files):
     files = make_files([("r", f"{i}.py", t) for i, t in enumerate(TEXTS)])
     one = Counter(map(str, scan.scan(files.coalesce(1), PYTHON + GENERAL).collect()))
