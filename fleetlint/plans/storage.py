@@ -13,7 +13,7 @@ _local_dirs: dict[str, str] = {}
 
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the cluster; local sessions may do without the setting."""
-    path = spark.conf.get(CONF, None)
+    path = spark.conf.get(CONF, None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
