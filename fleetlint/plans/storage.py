@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CONF = "spark.checkpoint.dir"
-_local_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; local sessions may do without the setting."""
+    """The shared folder of the cluster, or a folder of the warehouse where none is set.
+
+    Both are places that every executor and the driver can reach; a machine's own
+    temporary folder is never used.
+    """
     path = spark.conf.get(CONF, None) or spark.sparkContext.getCheckpointDir()
-    if path:
-        return path.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError(f"set {CONF} to a folder that all executors can reach")
-    application = spark.conf.get("spark.app.id", "")
-    if application not in _local_dirs:
-        _local_dirs[application] = tempfile.mkdtemp(prefix="fleetlint-")
-    return _local_dirs[application]
+    if not path:
+        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
+    return path.rstrip("/")
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path below the shared folder that nothing else uses."""
+    return f"{shared_dir(spark)}/fleetlint/{name}-{uuid.uuid4().hex}"
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -31,6 +33,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     and the optimizer knows the true size of the table when it picks joins.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/fleetlint/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete the stored intermediates of all jobs that used this shared folder."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/fleetlint")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
