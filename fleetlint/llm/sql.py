@@ -14,7 +14,7 @@ _WEAK = (r"""(?i)(?:password|passwd|passphrase|pwd|secret|token|api_?key|private
          r"""([A-Za-z0-9+/_.=!@#$%^&*-]{6,})""")
 _ENDPOINT = (r"""(?:(?i:https?|ftp|ssh|jdbc|postgres|postgresql|mysql|mongodb|redis|amqp)://[^\s"''<>]{3,}"""
              r"""|(?i:host|hostname|endpoint|server)["'']?\x20*[:=]\x20*["'']?[A-Za-z0-9.:_-]{4,})""")
-_KINDS = [("assign", _ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]+", 0, 16),
+_KINDS = [("assign", _ASSIGN, 2, 12), ("access", r"AKIA[A-Z0-9]+", 0, 18), ("hex", r"[0-9a-f]{16,}", 0, 16),
           ("ident", _IDENT, 0, 0), ("weak", _WEAK, 0, 0), ("endpoint", _ENDPOINT, 0, 0)]
 
 
@@ -47,4 +47,20 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN per USING (doc_id)
 """)
 
-ORACLES = {"op2_exact_dedup": EXACT_DEDUP, "op9_secrets": SECRETS}
+NEAR_DEDUP = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS words FROM documents),
+sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END) AS s FROM w),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+ids AS (SELECT s, list(doc_id) AS docs FROM sets GROUP BY s HAVING count(*) > 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM (SELECT s, unnest(docs) AS doc_id FROM ids) a
+    JOIN (SELECT s, unnest(docs) AS doc_id FROM ids) b USING (s) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 80 * (x.n + y.n - i)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS c FROM documents UNION SELECT edges.b, reach.c FROM reach JOIN edges ON edges.a = reach.node)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id, d.doc_id = min(c) AS kept
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.node = d.doc_id GROUP BY d.doc_id, n
+"""
+
+ORACLES = {"op4_near_dedup": NEAR_DEDUP, "op2_exact_dedup": EXACT_DEDUP, "op9_secrets": SECRETS}

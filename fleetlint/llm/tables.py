@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,3 +30,24 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def find_package(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it, if they have no other copy."""
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
+
+
+def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    """``mapInArrow`` whose workers find this package."""
+    find_package(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
+def map_groups(df: DataFrame, keys: list[str], function: Callable, schema: str) -> DataFrame:
+    """``applyInArrow`` per group, whose workers find this package."""
+    find_package(df.sparkSession)
+    return df.groupBy(*keys).applyInArrow(function, schema)
