@@ -5,22 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlint.llm import exact_dedup, fingerprints, near_dedup, secrets, suffix_dedup
+from fleetlint.llm import byte_bpe, exact_dedup, fingerprints, near_dedup, packing, secrets, suffix_dedup, token_files
 from fleetlint.llm.tables import table
+from fleetlint.plans.storage import new_path
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.groups(table(spark, sf_dir, "documents"), words=4)
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_tokens(table(spark, sf_dir, "documents"), new_path(spark, "token-ids"))
+    return token_files.read_tokens(spark, files)
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encoded(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find(table(spark, sf_dir, "documents"))
 
@@ -39,8 +53,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_packing": op3_packing,
     "op4_near_dedup": op4_near_dedup,
+    "op5_token_files": op5_token_files,
     "op7_fingerprints": op7_fingerprints,
+    "op8_byte_bpe": op8_byte_bpe,
     "op9_secrets": op9_secrets,
     "op10_suffix_dedup": op10_suffix_dedup,
 }
