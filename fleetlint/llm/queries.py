@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlint.llm import byte_bpe, exact_dedup, fingerprints, near_dedup, packing, secrets, suffix_dedup, token_files
+from fleetlint.llm import byte_bpe, exact_dedup, fingerprints, near_dedup, packing, secrets, suffix_dedup, token_files, toxicity
 from fleetlint.llm.tables import table
 from fleetlint.plans.storage import new_path
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op4_near_dedup": op4_near_dedup,
