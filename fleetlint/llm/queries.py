@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetlint.llm import byte_bpe, exact_dedup, fingerprints, near_dedup, packing, secrets, suffix_dedup, token_files, toxicity
+from fleetlint.llm import (
+    byte_bpe, exact_dedup, fingerprints, html_text, near_dedup, packing, secrets, suffix_dedup, token_files, toxicity,
+)
 from fleetlint.llm.tables import table
 from fleetlint.plans.storage import new_path
 
@@ -31,6 +33,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_tokens(spark, files)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.main_texts(table(spark, sf_dir, "pages"))
+    return texts.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
 
@@ -61,6 +68,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_near_dedup": op4_near_dedup,
     "op5_token_files": op5_token_files,
+    "op6_html_text": op6_html_text,
     "op7_fingerprints": op7_fingerprints,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_secrets": op9_secrets,
