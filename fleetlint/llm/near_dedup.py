@@ -8,8 +8,8 @@ Jaccard likeness, so bands of registers make buckets.
 
 Equal sets are one class first. Within a bucket classes are compared with one pivot, not
 with each other; links join classes to components, and only members of a bucket that are
-still in different components are compared further, first with new pivots, at last with
-each other. Each pair passes a joint estimate (likelihood of the numbers of larger, smaller
+still in different components are compared further, first with a new pivot, at last block by
+block with all that their buckets join, on full sets. A pair with a pivot passes a joint estimate (likelihood of the numbers of larger, smaller
 and equal registers, given both set sizes, which are known) with a margin of ``MARGIN``
 standard deviations, then the exact test on full sets: ``100 * |A & B| >= 80 * |A | B|``.
 
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlint.llm.components import components
-from fleetlint.llm.tables import map_arrow, whole_text
+from fleetlint.llm.tables import map_arrow, map_groups, whole_text
 from fleetlint.llm.words import mix, shingle_sets, steps, text_buffers, word_hashes
 from fleetlint.plans.storage import materialise
 
@@ -41,8 +41,10 @@ from fleetlint.plans.storage import materialise
 REGISTERS, BASE, RATE, LARGEST = 128, 1.001, 20.0, 2**16 - 1
 #: Registers of a band; standard deviations that an estimate may lie below the threshold.
 BAND, MARGIN = 4, 6.0
-#: Rounds in which the rest of a bucket meets a new pivot, before the rest is compared with each other.
-PIVOT_ROUNDS = 2
+#: Rounds in which the rest of a bucket meets a new pivot, before what is left is compared in blocks.
+PIVOT_ROUNDS = 1
+#: Documents of a block, and shingles that are compared at once.
+BLOCK_ROWS, STRIPE = 256, 8192
 _RNG = np.random.default_rng(77)
 _FACTORS = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(0, 2**63, REGISTERS, dtype=np.uint64)
@@ -162,6 +164,70 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("common") * 100 >= union * percent).select("a", "b")
 
 
+def block_links(members: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Links ``(a, b)`` between components that share a cluster of buckets, by exact comparison in blocks.
+
+    A cluster is what buckets join without any check, so it holds each pair of one bucket. Its
+    largest component is linked already; every other document is compared with the whole
+    cluster, block by block, so rows grow with documents times blocks and no pair is a row.
+    One link is returned per document and foreign component of a block.
+    """
+    pivots = members.groupBy("band").agg(F.min("doc_id").alias("p"))
+    loose = components(members.join(pivots, "band").select(F.col("doc_id").alias("a"), F.col("p").alias("b")), "clusters")
+    nodes = members.select("doc_id").distinct().join(loose.toDF("doc_id", "cluster"), "doc_id", "left").join(
+        labels.toDF("doc_id", "component"), "doc_id", "left").select(
+        "doc_id", F.coalesce("cluster", "doc_id").alias("cluster"), F.coalesce("component", "doc_id").alias("component"))
+    nodes = materialise(nodes, "cluster-nodes")
+    sizes = nodes.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    per = sizes.groupBy("cluster").agg(
+        F.max(F.struct("n", "component")).alias("largest"), F.sum("n").alias("total"), F.count("*").alias("parts")).where("parts > 1")
+    per = per.select("cluster", F.col("largest.component").alias("main"),
+                     F.ceil((F.col("total") - F.col("largest.n")) / rows).alias("n_side"), F.ceil(F.col("largest.n") / rows).alias("n_main"))
+    placed = nodes.join(per, "cluster").withColumn("is_main", F.col("component") == F.col("main")).withColumn(
+        "block", F.pmod(F.xxhash64("doc_id"), F.when(F.col("is_main"), F.col("n_main")).otherwise(F.col("n_side"))))
+
+    def upto(n: Column, make: Callable[[Column], Column]) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("bigint"), n - 1), make)
+
+    def tile(row: Column, kind: int, column: Column, left: Column) -> Column:
+        return F.struct(row.alias("row"), F.lit(kind).alias("kind"), column.alias("column"), left.alias("left"))
+
+    block = F.col("block")
+    of_side = F.concat(
+        upto(F.col("n_side"), lambda j: tile(F.least(block, j), 0, F.greatest(block, j), block <= j)),
+        upto(F.col("n_main"), lambda j: tile(block, 1, j, F.lit(True))))
+    tiles = F.when(F.col("is_main"), upto(F.col("n_side"), lambda i: tile(i, 1, block, F.lit(False)))).otherwise(of_side)
+    spread = placed.join(sets, "doc_id").select("cluster", "doc_id", "component", "hashes", F.explode(tiles).alias("t")).select(
+        "cluster", "t.*", "doc_id", "component", "hashes")
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, parts = (table.column(c).to_numpy() for c in ("doc_id", "component"))
+        left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
+        hashes = table.column("hashes").combine_chunks()
+        hashes = hashes.combine_chunks() if isinstance(hashes, pa.ChunkedArray) else hashes
+        counts = np.diff(hashes.offsets.to_numpy())
+        owner = np.repeat(np.arange(len(ids)), counts)
+        names, place, times = np.unique(hashes.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        shared = times[place] > 1
+        owner, place = owner[shared], (np.cumsum(times > 1) - 1)[place[shared]]
+        rows_, columns = (np.flatnonzero(left), np.flatnonzero(~left)) if not left.all() else (np.arange(len(ids)),) * 2
+        common = np.zeros((len(rows_), len(columns)), np.float32)
+        order = np.argsort(place, kind="stable")
+        owner, place = owner[order], place[order]
+        for low in range(0, int(place[-1]) + 1 if len(place) else 0, STRIPE):
+            a, b = np.searchsorted(place, [low, low + STRIPE])
+            has = np.zeros((len(ids), STRIPE), np.float32)
+            has[owner[a:b], place[a:b] - low] = 1
+            common += has[rows_] @ has[columns].T
+        union = counts[rows_][:, None] + counts[columns][None, :] - common
+        linked = (common * 100 >= union * percent) & (parts[rows_][:, None] != parts[columns][None, :])
+        i, j = np.nonzero(linked)
+        _, once = np.unique(np.stack([ids[rows_[i]], parts[columns[j]]]), axis=1, return_index=True)
+        return pa.table({"a": ids[rows_[i[once]]], "b": ids[columns[j[once]]]})
+
+    return materialise(map_groups(spread, ["cluster", "row", "kind", "column"], run, "a long, b long"), "block-links")
+
+
 def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """``(node, component)`` of the classes that join a smaller one. ``docs`` has ``doc_id, text``."""
     threshold = percent / 100
@@ -200,10 +266,7 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
             continue
         found = found.union(more)
         labels = components(found)
-    rest = open_buckets(labels)
-    left, right = (rest.toDF("band", d, c) for d, c in (("a", "c_a"), ("b", "c_b")))
-    pairs = left.join(right, "band").where("a < b and c_a != c_b").select("a", "b").distinct()
-    more = confirm(pairs)
+    more = block_links(members, labels, sets, percent)
     return labels if more.isEmpty() else components(found.union(more))
 
 
