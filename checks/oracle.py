@@ -391,7 +391,7 @@ ALL_RULES = R.PATTERN_RULES + R.SECRETS + R.AUTH + R.TRAPS + SERVICE_RULES + R.T
 
 EVERYTHING = [
     FILES, LANG_NAMES, DEPS, FRAMEWORKS, audit_cte(), DUPLICATES, BUNDLE, FIRST_FILES, hits_sql(ALL_RULES),
-    patterns_cte(where="(h.repo, h.path) IN (SELECT (repo, path) FROM first_files WHERE file_rank <= 500)"),
+    patterns_cte(),
     IMAGES, MISSING, DANGEROUS, services_cte(), COST, TEST_COUNTS, UNTESTED, SMELLS,
     """findings AS (
   SELECT repo, 'dependencies' AS layer, type, '' AS rule, '' AS category, severity, '' AS file, 0 AS line, package,
@@ -511,8 +511,7 @@ WHERE levenshtein(lower(name), imitates) BETWEEN 1 AND 2 AND lower(name) NOT IN
     for name, rules in R.RULE_SETS.items():
         sql[f"scan_{name}"] = _scan_set(rules)
     sql["scan_project"] = with_ctes(
-        FILES, LANG_NAMES, FIRST_FILES, hits_sql(R.PATTERN_RULES),
-        patterns_cte(where=f"(h.repo, h.path) IN (SELECT (repo, path) FROM first_files WHERE file_rank <= {queries.FIRST_N})"),
+        FILES, LANG_NAMES, hits_sql(R.PATTERN_RULES), patterns_cte(),
         select="SELECT repo, rule, category, severity, file, line, match FROM patterns")
     sql["scan_dedupe"] = with_ctes(
         FILES, LANG_NAMES, hits_sql(R.JAVASCRIPT),
@@ -626,8 +625,9 @@ GROUP BY ALL""", f"""tasks AS (
   sec_critical AS security_critical, risk AS cost_risk, coverage AS test_coverage FROM wide""", langs, wide)
 
     sql["findings_diff"] = with_ctes(*_diff(), select="SELECT * FROM diff")
-    sql["quality_gate"] = with_ctes(*_diff(), select="""SELECT repo, count(*) FILTER (severity = 'critical' AND status = 'new') AS new_critical,
-  count(*) FILTER (severity = 'critical' AND status = 'new') = 0 AS passed FROM diff GROUP BY repo""")
+    sql["quality_gate"] = with_ctes(*_diff(), select="""SELECT repo, new_critical, new_critical = 0 AS passed FROM (
+  SELECT repo, CAST(sum(CASE WHEN severity = 'critical' AND after_count > before_count THEN after_count - before_count ELSE 0 END) AS BIGINT) AS new_critical
+  FROM diff GROUP BY repo)""")
     sql["area_findings"] = with_ctes(FILES, hits_sql(R.GENERAL), select=f"SELECT repo, rule, path AS file, line FROM hits WHERE contains(lower(path), {q(queries.AREA)})")
     sql["feature_slugs"] = """SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_name || ' / ' || p_type), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'feature') AS slug FROM part"""
 

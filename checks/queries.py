@@ -242,7 +242,7 @@ for _name, _rules in R.RULE_SETS.items():
 @query
 def scan_project(spark, sf_dir):
     files = corpus.files(spark, sf_dir)
-    found = scan.scan_project(files, stack.language_names(files), max_files=FIRST_N)
+    found = scan.scan_project(files, stack.language_names(files))
     return found.select("repo", "rule", "category", "severity", "file", "line", "match")
 
 

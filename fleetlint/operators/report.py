@@ -228,9 +228,10 @@ def findings_diff(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 def quality_gate(diff: DataFrame) -> DataFrame:
-    """A repository passes when no critical finding is new."""
-    worse = (F.col("severity") == "critical") & (F.col("status") == "new")
-    return diff.groupBy("repo").agg(F.count_if(worse).alias("new_critical")).withColumn(
+    """A repository passes when no critical finding is new or occurs more often than before."""
+    more = F.greatest(F.col("after_count") - F.col("before_count"), F.lit(0))
+    worse = F.sum(F.when(F.col("severity") == "critical", more).otherwise(0))
+    return diff.groupBy("repo").agg(worse.alias("new_critical")).withColumn(
         "passed", F.col("new_critical") == 0)
 
 

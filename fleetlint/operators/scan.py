@@ -49,13 +49,12 @@ _ELIGIBLE = {
 
 
 def scan(files: DataFrame, rules: Sequence[Rule], match_chars: int = MATCH_CHARS,
-         max_chars: int | None = None, carry: Sequence[str] = ()) -> DataFrame:
+         carry: Sequence[str] = ()) -> DataFrame:
     """``repo, path, test_langs, rule_ix, line, match, match_end`` plus the columns in ``carry``.
 
     One row per match; rules that only ask for existence give one row per file with
     neither line nor match. ``rule_ix`` is the position in ``rules``. Where ``files``
-    has a flag ``in_first``, pattern rules read flagged files only. Texts longer than ``max_chars`` are left out when it is given (off by default): a guard
-    against minified one-line files, on which some patterns backtrack for long.
+    has a flag ``in_first``, pattern rules read flagged files only.
     """
     kinds = sorted({rule.kind for rule in rules})
     eligible = dict(_ELIGIBLE)
@@ -68,8 +67,6 @@ def scan(files: DataFrame, rules: Sequence[Rule], match_chars: int = MATCH_CHARS
         named = F.col("suffix").isin(*suffixes)
         by_path = by_path.where(named | F.col("name").startswith(".env") if "secret" in kinds else named)
     by_path = by_path.where(reduce(lambda a, b: a | b, [eligible[k]() for k in kinds]))
-    if max_chars is not None:
-        by_path = by_path.where(F.length("content") <= max_chars)
     texts = by_path.select(
         *dict.fromkeys(["repo", "path", "suffix", *carry]), "test_langs", "content",
         F.lower("content").alias("_lower"),
@@ -162,12 +159,11 @@ def pattern_findings(hits: DataFrame, language_names: DataFrame, dedupe: bool =
 
 
 def scan_project(files: DataFrame, language_names: DataFrame, rules: Sequence[Rule] = PATTERN_RULES,
-                 max_files: int | None = paths.MAX_FILES, dedupe: bool = False,
-                 match_chars: int = MATCH_CHARS, max_chars: int | None = None) -> DataFrame:
-    """The pattern layer over the first ``max_files`` sources of each repository (None: all)."""
+                 max_files: int | None = None, dedupe: bool = False, match_chars: int = MATCH_CHARS) -> DataFrame:
+    """The pattern layer over all sources, or the first ``max_files`` of each repository if that is given."""
     if max_files is not None:
         files = mark_first_files(files, max_files)
-    hits = scan_rules(files, rules, match_chars=match_chars, max_chars=max_chars)
+    hits = scan_rules(files, rules, match_chars=match_chars)
     return pattern_findings(hits, language_names, dedupe)
 
 

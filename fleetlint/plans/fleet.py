@@ -7,7 +7,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlint.catalog import paths
 from fleetlint.catalog.rules import AUTH, PATTERN_RULES, SECRETS, TEST_SMELLS, TRAPS
 from fleetlint.catalog.services import SERVICE_RULES
 from fleetlint.operators import (
@@ -25,7 +24,7 @@ class FleetScan:
     ``stack`` are written to the shared folder on first use, since several layers read them.
     """
 
-    def __init__(self, files: DataFrame, max_files: int | None = paths.MAX_FILES, dedupe: bool = False,
+    def __init__(self, files: DataFrame, max_files: int | None = None, dedupe: bool = False,
                  rules=ALL_RULES):
         self.files = files
         self.max_files = max_files

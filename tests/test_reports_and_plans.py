@@ -119,3 +119,10 @@ def test_rules_that_java_rejects_are_reported(spark):
     good, problems = packs.valid_rules([GENERAL[0], bad], spark)
     assert good == (GENERAL[0],) and problems[0][0] == "bad"
     assert packs.valid_rules([odd])[1] and packs.valid_rules([GENERAL[0]])[1] == []
+
+
+def test_another_copy_of_a_critical_finding_fails_the_gate(spark):
+    one = spark.createDataFrame([("r", "k", "f", "m", "critical")], "repo string, rule string, file string, match string, severity string")
+    diff = report.findings_diff(one, one.union(one))
+    assert [(r.new_critical, r.passed) for r in report.quality_gate(diff).collect()] == [(1, False)]
+    assert [r.passed for r in report.quality_gate(report.findings_diff(one, one)).collect()] == [True]

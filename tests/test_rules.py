@@ -164,11 +164,6 @@ def test_files_without_text_have_no_hits(spark, make_files):
     assert scan.scan(make_files([("r", "a.py", None, 5), ("r", "b.py", "x", 1)]), RULES).count() == 0
 
 
-def test_too_long_texts_can_be_left_out(spark, make_files):
-    files = make_files([("r", "a.py", "TODO " * 100), ("r", "b.py", "TODO")])
-    assert {h.path for h in scan.scan(files, GENERAL, max_chars=50).collect()} == {"b.py"}
-
-
 def test_services_use_one_rule_each():
     assert [r.rule_id for r in SERVICE_RULES] == [s.service_id for s in SERVICES]
 
