@@ -12,7 +12,10 @@ occur in more of the positive than of the unlabelled examples by a likelihood-ra
 
 The training sample is bounded (``POSITIVES``, ``UNLABELLED``, taken by hash of the id); every
 document is scored on its whole text. Labels are read only from training folds, that is
-where ``crc32(id as text) % 3`` is not 1; unlabelled examples come from these folds too.
+where ``crc32(id as text) % 3`` is not 1; unlabelled examples are the documents
+of these folds that are not confirmed. The prior is taken from the labels, which then must be a
+fair sample of the documents; else give it. It is a little above the toxic share of the
+unlabelled, since confirmed ones are taken out, which favours finding toxic documents.
 
 Defined results: null and empty texts have no words and get the score of the bias; without
 positive examples every score is that of ``NO_POSITIVES``; labels that are null or of an unknown id are ignored, of
