@@ -578,13 +578,14 @@ LEFT JOIN (SELECT repo, count(*) AS n FROM smells GROUP BY repo) s USING (repo)
 
     sql["findings_union"] = everything("SELECT repo, layer, type, rule, category, severity, file, line, package, service_id, secret_type, trap FROM findings")
     sql["severity_rollup"] = everything("""SELECT repo, count(*) FILTER (severity = 'critical') AS critical,
-  count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info, count(*) AS total
-FROM findings GROUP BY repo""")
+  count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info, count(severity) AS total
+FROM (SELECT DISTINCT repo FROM files) LEFT JOIN findings USING (repo) GROUP BY repo""")
     sql["report_capped"] = everything(_capped(REPORT_LAYERS, REPORT_INFO_CAP, "layer", "findings"))
     category = "CASE layer " + " ".join(f"WHEN {q(k)} THEN {q(v)}" for k, v in TASK_CATEGORY.items()) + " ELSE category END"
     order = ("dependencies", "patterns", "security", "cost", "performance", "tests")
     sql["critical_gate"] = everything("""SELECT repo, count(*) FILTER (severity = 'critical' AND layer IN ('security', 'dependencies', 'patterns')) AS critical_count,
-  count(*) FILTER (severity = 'critical' AND layer IN ('security', 'dependencies', 'patterns')) > 0 AS blocked FROM findings GROUP BY repo""")
+  count(*) FILTER (severity = 'critical' AND layer IN ('security', 'dependencies', 'patterns')) > 0 AS blocked
+FROM (SELECT DISTINCT repo FROM files) LEFT JOIN findings USING (repo) GROUP BY repo""")
     sql["task_queue"] = everything(f"""SELECT repo, CAST(CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END AS INTEGER) AS severity_rank,
   severity, category, count(*) AS shown, max(more) AS more FROM (
   SELECT *, CASE WHEN severity = 'info' THEN greatest(n - {TASK_INFO_CAP}, 0) ELSE 0 END AS more FROM (
@@ -625,9 +626,10 @@ GROUP BY ALL""", f"""tasks AS (
   sec_critical AS security_critical, risk AS cost_risk, coverage AS test_coverage FROM wide""", langs, wide)
 
     sql["findings_diff"] = with_ctes(*_diff(), select="SELECT * FROM diff")
-    sql["quality_gate"] = with_ctes(*_diff(), select="""SELECT repo, new_critical, new_critical = 0 AS passed FROM (
+    sql["quality_gate"] = with_ctes(*_diff(), select="""SELECT repo, coalesce(new_critical, 0) AS new_critical, coalesce(new_critical, 0) = 0 AS passed
+FROM (SELECT DISTINCT repo FROM files) LEFT JOIN (
   SELECT repo, CAST(sum(CASE WHEN severity = 'critical' AND after_count > before_count THEN after_count - before_count ELSE 0 END) AS BIGINT) AS new_critical
-  FROM diff GROUP BY repo)""")
+  FROM diff GROUP BY repo) USING (repo)""")
     sql["area_findings"] = with_ctes(FILES, hits_sql(R.GENERAL), select=f"SELECT repo, rule, path AS file, line FROM hits WHERE contains(lower(path), {q(queries.AREA)})")
     sql["feature_slugs"] = """SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_name || ' / ' || p_type), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'feature') AS slug FROM part"""
 
@@ -635,7 +637,7 @@ GROUP BY ALL""", f"""tasks AS (
     windows = f"""SELECT date_trunc('minute', ts) AS window_start, date_trunc('minute', ts) + INTERVAL 1 MINUTE AS window_end,
   event_type, count(*) AS requests FROM events GROUP BY ALL HAVING count(*) > {queries.STREAM_LIMIT}"""
     sql["rate_limit_windows"] = windows
-    sql["rate_limit_stream"] = f"""SELECT * FROM ({windows}) WHERE window_end <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE"""
+    sql["rate_limit_stream"] = windows
     sql["oversized_files"] = with_ctes(DOCS, select=f"SELECT repo, path AS file, CAST({LINES} AS INTEGER) AS lines FROM files WHERE {LINES} >= {queries.MIN_LINES}")
     k = queries.COPY_LINES
     sql["copy_paste"] = with_ctes(DOCS, f"""normal AS (

@@ -478,7 +478,8 @@ def findings_union(spark, sf_dir):
 
 @query
 def severity_rollup(spark, sf_dir):
-    return report.severity_counts(_fleet(spark, sf_dir).findings)
+    fleet = _fleet(spark, sf_dir)
+    return report.severity_counts(fleet.findings, fleet.repos)
 
 
 def _row_shape(rows, *extra):
@@ -523,7 +524,8 @@ def plan_header(spark, sf_dir):
 
 @query
 def critical_gate(spark, sf_dir):
-    return report.critical_gate(_fleet(spark, sf_dir).findings)
+    fleet = _fleet(spark, sf_dir)
+    return report.critical_gate(fleet.findings, fleet.repos)
 
 
 def _two_states(spark, sf_dir):
@@ -542,7 +544,7 @@ def findings_diff(spark, sf_dir):
 
 @query
 def quality_gate(spark, sf_dir):
-    return report.quality_gate(_two_states(spark, sf_dir))
+    return report.quality_gate(_two_states(spark, sf_dir), corpus.files(spark, sf_dir, 0).unionByName(corpus.files(spark, sf_dir, 1)))
 
 
 @query
@@ -585,7 +587,9 @@ def rate_limit_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet")
     stamped = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    return _minutes(run.available_now(rate_limit.over_limit(stamped, ["event_type"], STREAM_LIMIT), "rates"))
+    closed = run.available_now(rate_limit.over_limit(stamped, ["event_type"], STREAM_LIMIT), "rates")
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return _minutes(closed.unionByName(rate_limit.still_open(events, ["event_type"], STREAM_LIMIT)))
 
 
 @query

@@ -67,8 +67,14 @@ def repeats_group(pattern: str) -> bool:
     return re.search(r"\)(?:[*+]|\{\d*,\})", plain) is not None
 
 
+def python_only(pattern: str) -> bool:
+    """True for forms that the JVM engine lacks: named back references, conditions, ``_`` in a group's name."""
+    plain = re.sub(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", "x", pattern, flags=re.S)
+    return re.search(r"\(\?P=|\(\?\(|\(\?P<[^>]*[^A-Za-z0-9>]", plain) is not None
+
+
 def runs_in_jvm(rule: Rule) -> bool:
-    return bool(rule.jvm) or not repeats_group(rule.pattern)
+    return bool(rule.jvm) or not (repeats_group(rule.pattern) or python_only(rule.pattern))
 
 
 def python_matches(rules: Sequence[Rule], match_chars: int):

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Private-use characters that mark matches; ingestion removes them from texts.
-OPEN, CLOSE = "\ue000", "\ue001"
+# Private-use characters that mark matches; in texts they become UNKNOWN, so lengths and neighbours stay.
+OPEN, CLOSE, UNKNOWN = "\ue000", "\ue001", "\ufffd"
 
 # Where Python's str.splitlines() breaks, after newline normalisation.
 LINE_BREAKS = "[\n\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
@@ -15,16 +15,20 @@ SPACE_AROUND = r"(?U)^\s+|\s+$"
 
 
 def clean_text(text: Column) -> Column:
-    """Newlines become ``\\n``, the marker characters are dropped."""
-    for old, new in (("\r\n", "\n"), ("\r", "\n"), (OPEN, ""), (CLOSE, "")):
+    """Newlines become ``\\n``, the marker characters UNKNOWN."""
+    for old, new in (("\r\n", "\n"), ("\r", "\n"), (OPEN, UNKNOWN), (CLOSE, UNKNOWN)):
         text = F.replace(text, F.lit(old), F.lit(new))
     return text
 
 
 def decode_text(raw: Column) -> Column:
-    """Bytes to text: invalid UTF-8 is dropped, then :func:`clean_text`."""
-    valid = F.make_valid_utf8(raw.cast("string"))
-    return clean_text(F.replace(valid, F.lit("\ufffd"), F.lit("")))
+    """Bytes to text: invalid UTF-8 is dropped, then :func:`clean_text`.
+
+    A genuine U+FFFD is set aside as a marker, which ``clean_text`` turns back, so that
+    only the bytes that could not be decoded are dropped.
+    """
+    aside = F.replace(raw.cast("string"), F.lit(UNKNOWN), F.lit(OPEN))
+    return clean_text(F.replace(F.make_valid_utf8(aside), F.lit(UNKNOWN), F.lit("")))
 
 
 def file_name(path: Column) -> Column:

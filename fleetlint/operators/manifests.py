@@ -15,7 +15,7 @@ from fleetlint.catalog import stacks
 from fleetlint.functions import text
 from fleetlint.functions.regex import to_java
 
-_PACKAGE_JSON = "dependencies map<string,string>, devDependencies map<string,string>, _corrupt string"
+_PACKAGE_JSON = "array<struct<dependencies: map<string,string>, devDependencies: map<string,string>>>"
 
 # Where each ecosystem's manifests are; only package.json has alternatives.
 _PATHS = {
@@ -27,22 +27,28 @@ _PATHS = {
 
 
 def _package_json(content: Column) -> Column:
-    """Names and versions, dev versions first; null where the text is no such object."""
-    parsed = F.from_json(content, _PACKAGE_JSON, {
-        "columnNameOfCorruptRecord": "_corrupt", "allowSingleQuotes": "false"})
-    none = F.create_map().cast("map<string,string>")
+    """Names and versions, dev versions last; null where the text is no such object.
 
-    def merge(json: Column) -> Column:
-        deps, dev = (F.coalesce(json[name], none) for name in ("dependencies", "devDependencies"))
-        # Both lambdas below use the maps, so they are bound in one struct first.
-        pair = F.array(F.struct(deps.alias("deps"), dev.alias("dev")))
-        merged = F.element_at(F.transform(pair, lambda p: F.map_concat(
-            F.map_filter(p["deps"], lambda name, _: ~F.map_contains_key(p["dev"], name)), p["dev"])), 1)
-        return F.transform(F.map_entries(merged), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("version")))
+    The text is read as the only element of an array, so anything behind the object makes
+    it unreadable. Entries of the maps are listed, not merged: a name may be repeated within
+    a map, and the last one wins when the names of a repository are grouped.
+    """
+    parsed = F.from_json(F.concat(F.lit("["), content, F.lit("]")), _PACKAGE_JSON, {"allowSingleQuotes": "false"})
+    keys = F.coalesce(F.json_object_keys(content), F.array().cast("array<string>"))
+    none = F.array().cast("array<struct<name:string,version:string>>")
+
+    def entries(json: Column, name: str) -> Column:
+        return F.coalesce(F.transform(F.map_entries(json[name]), lambda e: F.struct(
+            e["key"].alias("name"), e["value"].alias("version"))), none)
+
+    def listed(pair: Column) -> Column:
+        json = F.get(pair["parsed"], F.lit(0))
+        unusable = [F.array_contains(pair["keys"], name) & json[name].isNull() for name in ("dependencies", "devDependencies")]
+        return F.when((F.size(pair["parsed"]) == 1) & json.isNotNull() & ~unusable[0] & ~unusable[1],
+                      F.concat(entries(json, "dependencies"), entries(json, "devDependencies")))
 
-    readable = content.rlike(r"^\s*\{")
-    rows = F.element_at(F.transform(F.array(parsed), lambda json: F.when(json["_corrupt"].isNull(), merge(json))), 1)
-    return F.when(readable, rows)
+    pair = F.array(F.struct(parsed.alias("parsed"), keys.alias("keys")))
+    return F.when(content.rlike(r"^\s*\{"), F.element_at(F.transform(pair, listed), 1))
 
 
 def _requirements(content: Column, compatible_operator: bool) -> Column:
@@ -114,8 +120,9 @@ def dependencies(files: DataFrame, ecosystems: Sequence[str] = tuple(_PATHS),
     )
     chosen = manifests.groupBy("repo", "ecosystem", "manifest").agg(F.min_by("entries", "place").alias("entries"))
     return (
-        chosen.select("repo", "ecosystem", F.inline("entries"))
-        .groupBy("repo", "ecosystem", "name").agg(F.first("version").alias("version"))
+        chosen.select("repo", "ecosystem", F.posexplode("entries").alias("place", "entry"))
+        .groupBy("repo", "ecosystem", F.col("entry.name").alias("name")).agg(
+            F.max_by("entry.version", "place").alias("version"))
     )
 
 

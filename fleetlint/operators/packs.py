@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fleetlint.catalog.packs import PACKS
 from fleetlint.catalog.rules import Rule
-from fleetlint.functions.regex import java_pattern
+from fleetlint.functions.regex import java_pattern, runs_in_jvm
 
 
 def pack_rules(name: str, packs: dict = PACKS) -> tuple[Rule, ...]:
@@ -30,15 +30,17 @@ def pack_rules(name: str, packs: dict = PACKS) -> tuple[Rule, ...]:
     return tuple(merged.values())
 
 
-def load_packs(folder: str) -> tuple[dict, list[tuple[str, str, str]]]:
+def load_packs(folder: str, spark: SparkSession | None = None) -> tuple[dict, list[tuple[str, str, str]]]:
     """Read ``*.yaml`` packs; rules with a bad pattern are left out and reported.
 
     Returns the packs and ``(pack, rule, problem)`` rows. A pack is a mapping with
     ``name``, optional ``extends`` and ``patterns: {rule_id: {pattern, severity,
-    message, fix, extensions}}``.
+    message, fix, extensions}}``. Patterns are tried in the JVM of ``spark``, or of the
+    active session, so that one bad rule cannot fail the scan of all.
     """
     import yaml  # an optional dependency, needed for YAML packs only
 
+    spark = spark or SparkSession.getActiveSession()
     packs, problems = {}, []
     for file in sorted(Path(folder).glob("*.yaml")):
         data = yaml.safe_load(file.read_text(encoding="utf-8")) or {}
@@ -47,7 +49,7 @@ def load_packs(folder: str) -> tuple[dict, list[tuple[str, str, str]]]:
             extensions = tuple(body["extensions"]) if body.get("extensions") else None
             rules.append(Rule("pattern", name, rule_id, body.get("severity", "info"), body["pattern"],
                               body.get("message", ""), body.get("fix", ""), extensions))
-        good, bad = valid_rules(rules)
+        good, bad = valid_rules(rules, spark)
         packs[name] = {"extends": data.get("extends"), "rules": good}
         problems += [(name, rule_id, why) for rule_id, why in bad]
     return packs, problems
@@ -57,13 +59,13 @@ def valid_rules(rules: Sequence[Rule], spark: SparkSession | None = None) -> tup
     """Split rules into usable ones and ``(rule_id, problem)``.
 
     A pattern must be valid Python; with a session it must compile in the JVM too
-    (evaluated once on an empty text).
+    (evaluated once on an empty text), unless Python's engine will run it.
     """
     good, bad = [], []
     for rule in rules:
         try:
             re.compile(rule.pattern)
-            if spark is not None:
+            if spark is not None and runs_in_jvm(rule):
                 spark.range(1).select(F.lit("").rlike(java_pattern(rule))).collect()
             good.append(rule)
         except re.error as error:

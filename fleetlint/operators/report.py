@@ -80,10 +80,16 @@ def sorted_findings(findings: DataFrame) -> DataFrame:
     return findings.orderBy("repo", severity_rank(), *stable_order())
 
 
-def severity_counts(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("repo").agg(
+def _for_all(counts: DataFrame, repos: DataFrame | None) -> DataFrame:
+    """``counts`` with zeros for the repositories that have none; without ``repos`` as it is."""
+    return counts if repos is None else repos.select("repo").distinct().join(counts, "repo", "left").na.fill(0)
+
+
+def severity_counts(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """Findings per severity; with ``repos`` also a row for each repository without any."""
+    return _for_all(findings.groupBy("repo").agg(
         *[F.count_if(F.col("severity") == s).alias(s) for s in SEVERITY_RANK],
-        F.count("*").alias("total"))
+        F.count("*").alias("total")), repos)
 
 
 def _capped(findings: DataFrame, cap: int, order) -> DataFrame:
@@ -199,10 +205,14 @@ def scan_summary(wide: DataFrame) -> DataFrame:
     return wide.select("repo", F.inline(table))
 
 
-def critical_gate(findings: DataFrame) -> DataFrame:
-    """Critical findings of the security, dependency and pattern layers, and whether they block."""
+def critical_gate(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """Critical findings of the security, dependency and pattern layers, and whether they block.
+
+    With ``repos`` a repository that was scanned and is clean has a row too.
+    """
     counted = F.col("layer").isin("security", "dependencies", "patterns") & (F.col("severity") == "critical")
-    return findings.groupBy("repo").agg(F.count_if(counted).alias("critical_count")).withColumn(
+    counts = findings.groupBy("repo").agg(F.count_if(counted).alias("critical_count"))
+    return _for_all(counts, repos).withColumn(
         "blocked", F.col("critical_count") > 0)
 
 
@@ -227,11 +237,14 @@ def findings_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     return counted.withColumn("status", status)
 
 
-def quality_gate(diff: DataFrame) -> DataFrame:
-    """A repository passes when no critical finding is new or occurs more often than before."""
+def quality_gate(diff: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """A repository passes when no critical finding is new or occurs more often than before.
+
+    With ``repos`` a repository without findings in both states has a row and passes.
+    """
     more = F.greatest(F.col("after_count") - F.col("before_count"), F.lit(0))
     worse = F.sum(F.when(F.col("severity") == "critical", more).otherwise(0))
-    return diff.groupBy("repo").agg(worse.alias("new_critical")).withColumn(
+    return _for_all(diff.groupBy("repo").agg(worse.alias("new_critical")), repos).withColumn(
         "passed", F.col("new_critical") == 0)
 
 

@@ -97,9 +97,10 @@ def critical_files(hits: DataFrame, language_names: DataFrame) -> DataFrame:
 _PLAIN = r"[\w.\-]"
 _ALL_PLAIN = f"(?U)^{_PLAIN}+$"
 _ANY = r"[^\n]"
-# A run is read in steps of 256 with 254 more characters behind each step, so every
-# substring of up to 255 characters (the longest file name) lies inside one piece.
-_PIECES = r"(?U)(?=({0}{{1,510}})){0}{{1,256}}"
+# A run is read in steps, each with as many characters behind it as the longest stem has,
+# so every substring of up to that length lies inside one piece.
+_PIECES = r"(?U)(?=({0}{{1,%d}})){0}{{1,%d}}"
+_LEAST_STEP = 256
 
 
 def _substrings(piece: Column, lengths: Column) -> Column:
@@ -135,13 +136,15 @@ def mentioned_stems(critical: DataFrame, files: DataFrame, language_names: DataF
     """
     is_plain = F.col("stem").rlike(_ALL_PLAIN)
     stems = critical.where(is_plain if plain else ~is_plain).select("repo", "stem").distinct()
+    longest = stems.agg(F.max(F.length("stem"))).first()[0] or 1
+    step = max(_LEAST_STEP, longest)
     offset = F.length(F.regexp_extract("stem", f"(?U)^{_PLAIN}*", 0))
     shape = F.length("stem") if plain else F.struct(
         F.substring(F.col("stem"), offset + 1, F.lit(1)).alias("anchor"), offset.alias("offset"),
         F.length("stem").alias("n"))
     shapes = stems.groupBy("repo").agg(F.collect_set(shape).alias("shapes"))
     pieces = F.regexp_extract_all(
-        F.lower("content"), F.lit(_PIECES.format(_PLAIN if plain else _ANY)), 1)
+        F.lower("content"), F.lit((_PIECES % (step + longest, step)).format(_PLAIN if plain else _ANY)), 1)
     tests = (
         files.withColumn("test_langs", walk.test_languages())
         .where(F.col("suffix").isin(*walk.TEST_SUFFIXES) & (F.size("test_langs") > 0) & F.col("content").isNotNull())

@@ -92,7 +92,7 @@ def test_counts_and_bands(spark, make_files):
 
 def test_untested_equals_brute_force(spark, make_files):
     rng = random.Random(3)
-    stems = ["login", "Login2", "user.login", "[token]", "pay ment", "auth-\u00e9t\u00e9", "s" * 200 + "auth", "api+x", "auth_1", "a[1]auth"]
+    stems = ["login", "Login2", "user.login", "[token]", "pay ment", "auth-\u00e9t\u00e9", "s" * 200 + "auth", "t" * 300 + "auth", "u[" * 400 + "auth", "v" * 1000 + "auth", "api+x", "auth_1", "a[1]auth"]
     rows = []
     for repo in ("a", "b", "c"):
         for i, stem in enumerate(stems):

@@ -121,6 +121,23 @@ def test_rules_that_java_rejects_are_reported(spark):
     assert packs.valid_rules([odd])[1] and packs.valid_rules([GENERAL[0]])[1] == []
 
 
+def test_rules_that_only_python_can_run_do_not_stop_the_others(spark, make_files):
+    rules = [Rule("pattern", "x", "named", "info", r"(?P<my_name>abc)"), Rule("pattern", "x", "again", "info", r"(?P<q>ab)(?P=q)"),
+             Rule("pattern", "x", "plain", "info", r"zz")]
+    assert packs.valid_rules(rules, spark) == (tuple(rules), [])
+    hits = scan.scan_rules(make_files([("r", "x.js", "abc\nabab\nzz")]), rules).collect()
+    assert sorted((h.rule, h.line, h.match) for h in hits) == [("again", 2, "abab"), ("named", 1, "abc"), ("plain", 3, "zz")]
+
+
+def test_clean_repositories_have_rows(spark):
+    one = spark.createDataFrame([("r", "k", "f", "m", "critical", "security")], "repo string, rule string, file string, match string, severity string, layer string")
+    repos = spark.createDataFrame([("r",), ("clean",)], "repo string")
+    assert {tuple(r) for r in report.severity_counts(one, repos).collect()} == {("r", 1, 0, 0, 1), ("clean", 0, 0, 0, 0)}
+    assert {tuple(r) for r in report.critical_gate(one, repos).collect()} == {("r", 1, True), ("clean", 0, False)}
+    diff = report.findings_diff(one.limit(0), one)
+    assert {tuple(r) for r in report.quality_gate(diff, repos).collect()} == {("r", 1, False), ("clean", 0, True)}
+
+
 def test_another_copy_of_a_critical_finding_fails_the_gate(spark):
     one = spark.createDataFrame([("r", "k", "f", "m", "critical")], "repo string, rule string, file string, match string, severity string")
     diff = report.findings_diff(one, one.union(one))

@@ -20,6 +20,17 @@ def test_package_json(spark, make_files):
         ("bad", "c", "1"), ("both", "a", "1"), ("both", "b", "2"), ("list", "e", "^1"), ("wrong", "f", "1")]
 
 
+def test_package_json_with_repeated_names_trailing_text_and_nulls(spark, make_files):
+    files = make_files([
+        ("twice", "package.json", '{"dependencies": {"a": "1", "a": "2", "b": "1"}, "devDependencies": {"b": "2", "b": "3"}}'),
+        ("more", "package.json", '{"dependencies": {"c": "1"}} garbage'), ("more", "client/package.json", '{"dependencies": {"d": "1"}}'),
+        ("null", "package.json", '{"dependencies": null}'), ("null", "client/package.json", '{"dependencies": {"e": "1"}}'),
+        ("two", "package.json", '{"dependencies": {"f": "1"}}, {}'),
+    ])
+    assert deps_of(manifests.package_json_deps(files)) == [
+        ("more", "d", "1"), ("null", "e", "1"), ("twice", "a", "2"), ("twice", "b", "3")]
+
+
 def test_python_manifests(spark, make_files):
     files = make_files([
         ("r", "requirements.txt", "# c\n-r x\n\n  Flask >= 1\nboto3~=1\nx[y]>1;z\n=odd\nflask==2\npkg ; python>3\n"),

@@ -18,7 +18,9 @@ def test_path_parts(spark, make_files):
 
 def test_decode_drops_bad_bytes_and_normalises_newlines(spark):
     df = spark.createDataFrame([(bytearray(b"a\xffb\r\nc\rd\xc3\xa9" + "\ue000x\ue001".encode()),)], "raw binary")
-    assert df.select(text.decode_text(F.col("raw"))).first()[0] == "ab\nc\nd\u00e9x"
+    assert df.select(text.decode_text(F.col("raw"))).first()[0] == "ab\nc\nd\u00e9\ufffdx\ufffd"
+    df = spark.createDataFrame([(bytearray(b"a\xff" + "\ufffdb".encode()),)], "raw binary")
+    assert df.select(text.decode_text(F.col("raw"))).first()[0] == "a\ufffdb"
 
 
 def test_percent_rounds_like_python(spark):
