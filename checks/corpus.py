@@ -3,7 +3,11 @@
 Each document becomes one file. Its repository is its source and a block of ids, its
 place in the block picks a path from the lists below, and its text is the document's
 text followed by a snippet that makes rules fire. Both engines build it from the same
-lists, so findings can be compared row by row. Nothing is filtered or cut.
+lists, so findings can be compared row by row. Nothing is filtered or cut: where the place
+holds a manifest, an environment file or an image, the document's text is a second file.
+Manifests name a package after a word of the text, and their other names and versions follow
+the id: @WORD@ is the first word of the text, @ID@ the id, and @LINES@ stands for ``PICKS``
+lines with names from the catalogs.
 """
 
 from __future__ import annotations
@@ -11,48 +15,78 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fleetlint.catalog import dependencies as D
+from fleetlint.catalog import stacks as S
+from fleetlint.catalog.services import SERVICES
 from fleetlint.functions.tables import values_table
 from fleetlint.sources.corpus import files_from_rows
 
 BLOCK = 1000  # document ids per block
 STRIDE = 20  # ids of a block that share a slot
+PICKS = 8  # catalog names of a manifest
+WORD = "[a-z]{3,12}"
 
 _PKG_WEB = (
-    '{"name": "web", "dependencies": {"next": "14.1.0", "react": "18.2.0", "moment": "2.29.4", "lodash": "4.17.21",'
+    '{"name": "web", "dependencies": {"@WORD@-@ID@": "@ID@.0.1", @LINES@"next": "14.1.0", "react": "18.2.0", "moment": "2.29.4", "lodash": "4.17.21",'
     ' "axios": "1.6.0", "stripe": "14.0.0", "chart.js": "4.4.0", "Firebase": "10.7.0", "crossenv": "6.1.1"},'
     ' "devDependencies": {"jest": "29.7.0", "vitest": "1.0.0", "moment": "2.30.0", "eslint": "8.0.0", "tslint": "6.1.3"}}'
 )
 _PKG_API = (
-    '{"dependencies": {"express": "4.18.2", "request": "2.88.2", "fastify": "4.0.0", "openai": "4.20.0",'
+    '{"dependencies": {"@WORD@-@ID@": "@ID@.0.1", @LINES@"express": "4.18.2", "request": "2.88.2", "fastify": "4.0.0", "openai": "4.20.0",'
     ' "@aws-sdk/client-s3": "3.400.0", "aws-sdk": "2.1500.0", "bcrypt": "5.1.1", "bcryptjs": "2.4.3", "lodahs": "1.0.0"}}'
 )
-_PKG_BROKEN = '{"dependencies": {"moment": "2.29.4",'
+_PKG_BROKEN = '{"dependencies": {"@WORD@-@ID@": "@ID@.0.1", @LINES@"moment": "2.29.4",'
 _PKG_MOBILE = (
-    '{"dependencies": {"react-native": "0.73.0", "twilio": "4.19.0", "redux": "5.0.0", "zustand": "4.4.0"},'
+    '{"dependencies": {"@WORD@-@ID@": "@ID@.0.1", @LINES@"react-native": "0.73.0", "twilio": "4.19.0", "redux": "5.0.0", "zustand": "4.4.0"},'
     ' "devDependencies": {"mocha": "10.0.0", "@types/react": "18.2.0"}, "private": true}'
 )
 _REQUIREMENTS = (
-    "# pinned\n-r base.txt\nFlask==2.0.1\n  Flask-Cors>=3.0 \nboto3~=1.28\npandas[performance]>=2.0;python_version>'3.8'\n"
+    "# pinned\n-r base.txt\n@WORD@_@ID@==@ID@.0\n@LINES@Flask==2.0.1\n  Flask-Cors>=3.0 \nboto3~=1.28\npandas[performance]>=2.0;python_version>'3.8'\n"
     "openai\n\nnumpy<2\ntorch!=2.0\nreqeust>1"
 )
-_REQUIREMENTS_2 = "Django>=4.2\ncelery\nstripe==7.0\n--index-url https://example.org\nanthropic\ngoogle-cloud-bigquery>=3"
+_REQUIREMENTS_2 = "@WORD@_@ID@\n@LINES@Django>=4.2\ncelery\nstripe==7.0\n--index-url https://example.org\nanthropic\ngoogle-cloud-bigquery>=3"
 _PYPROJECT = (
-    '[project]\nname = "service"\ndependencies = ["fastapi>=0.100", "tensorflow", "opencv-python[extra]>=4", "plain text",'
+    '[project]\nname = "service"\ndependencies = ["@WORD@_@ID@>=@ID@", @LINES@"fastapi>=0.100", "tensorflow", "opencv-python[extra]>=4", "plain text",'
     ' "uvicorn[standard]"]\n'
 )
 _GOMOD = (
     "module example.com/app\n\ngo 1.21\n\nrequire github.com/single/line v1.0.0\n\nrequire (\n"
-    "\tgithub.com/gin-gonic/gin v1.9.1\n\t// github.com/commented/out v1\n\tgolang.org/x/text v0.14.0 // indirect\n)\n"
+    "\texample.com/@WORD@/m@ID@ v0.@ID@.0\n@LINES@\tgithub.com/gin-gonic/gin v1.9.1\n\t// github.com/commented/out v1\n\tgolang.org/x/text v0.14.0 // indirect\n)\n"
 )
 _CARGO = (
-    '[package]\nname = "tool"\nversion = "0.1.0"\n\n[dependencies]\nserde = "1.0"\nactix-web = { version = "4" }\n'
+    '[package]\nname = "tool"\nversion = "0.1.0"\n\n[dependencies]\n@WORD@_@ID@ = "0.@ID@"\n@LINES@serde = "1.0"\nactix-web = { version = "4" }\n'
     '# comment = no\n\n[dev-dependencies]\nrocket="0.5"\n\n[features]\nextra = []\n'
 )
-_ENV = "OPENAI_API_KEY=x\nSTRIPE_SECRET_KEY=y\nNEXT_PUBLIC_SUPABASE_URL=z\nDATABASE_URL=sqlite:///db\n"
-_ENV_2 = "TWILIO_AUTH_TOKEN=x\nAWS_BUCKET=b\nVERCEL_TOKEN=v\nexport GOOGLE_MAPS_API_KEY=g\n"
+_ENV = "@LINES@OPENAI_API_KEY=x\nSTRIPE_SECRET_KEY=y\nNEXT_PUBLIC_SUPABASE_URL=z\nDATABASE_URL=sqlite:///db\n"
+_ENV_2 = "@LINES@TWILIO_AUTH_TOKEN=x\nAWS_BUCKET=b\nVERCEL_TOKEN=v\nexport GOOGLE_MAPS_API_KEY=g\n"
 _IGNORE = "node_modules\n.env\n*.log\n"
 _IGNORE_2 = "*.pem\nid_rsa\n"
 
+
+def _names(*tables, apart=()):
+    """Distinct names of catalog tables, without those that stand in the texts ``apart``."""
+    found = dict.fromkeys(name for table in tables for name in table)
+    return " ".join(name for name in found if not any(f'"{name}"' in text for text in apart))
+
+
+_FIRST = [[row[0] for row in t] for t in (D.HEAVY_JS, D.DEPRECATED, D.METERED, D.BUNDLE_KB, D.ADVICE_ONLY_HEAVY)]
+_MARKERS = [name for names, _ in S.FRAMEWORKS.values() for name in names]
+_JS_NAMES = _names(*_FIRST, *[members for _, members in D.SAME_PURPOSE], _MARKERS,
+                   apart=(_PKG_WEB, _PKG_API, _PKG_BROKEN, _PKG_MOBILE))
+_PY_NAMES = _names([row[0] for row in D.HEAVY_PYTHON], [row[0] for row in D.METERED if "@" not in row[0]],
+                   [name for name in _MARKERS if name.isalpha()])
+_GO_NAMES = _names([name for name in _MARKERS if name.startswith("github.com/")], ["golang.org/x/net", "golang.org/x/sys"])
+_CARGO_NAMES = _names(["actix-web", "rocket", "tauri", "openai", "stripe", "tokio"])
+_ENV_NAMES = _names(*[s.env_keys for s in SERVICES])
+
+# Own text: names that its lines take in turn, and such a line.
+LINES = {
+    **dict.fromkeys((_PKG_WEB, _PKG_API, _PKG_BROKEN, _PKG_MOBILE), (_JS_NAMES, '"@N@": "1.@ID@.0", ')),
+    **dict.fromkeys((_REQUIREMENTS, _REQUIREMENTS_2), (_PY_NAMES, "@N@>=1.@ID@\n")),
+    _PYPROJECT: (_PY_NAMES, '"@N@>=1.@ID@", '), _GOMOD: (_GO_NAMES, "\t@N@ v1.@ID@.0\n"),
+    _CARGO: (_CARGO_NAMES, '@N@ = "1.@ID@"\n'), **dict.fromkeys((_ENV, _ENV_2), (_ENV_NAMES, "@N@=v@ID@\n")),
+}
+
 # Root slots: four alternatives each, (path, group or None, text of its own or None).
 ROOT = (
     (("package.json", None, _PKG_WEB), ("package.json", None, _PKG_API),
@@ -102,6 +136,10 @@ NUMBERED = (
 
 _K = "Ab3" * 20  # body of made-up tokens; the prefixes are joined below so that no scanner reacts to this file
 
+# The text of a document whose place does not show it.
+TEXT_SLOT = "b0"
+TEXT_FILE = ("src/Note{}.java", "text")
+
 # Three snippets for each group; @ID@ is the document id, @PEER@ the id one stride before.
 SNIPPETS = {
     "text": ("plain words\nTODO: nothing here counts", "copyright line", "token = '" + _K[:24] + "'"),
@@ -199,17 +237,22 @@ SNIPPETS = {
 
 
 def _slots():
-    """(slot, head, tail, numbered, group, own text)."""
+    """(slot, head, tail, numbered, group, own text, names of its lines, line)."""
     rows = []
     for i, alternatives in enumerate(ROOT):
         for j, (path, group, own) in enumerate(alternatives):
-            rows.append((f"r{i}.{j}", path, "", False, group, own))
-    for i, (path, group) in enumerate(NUMBERED):
+            rows.append((f"r{i}.{j}", path, "", False, group, own, *LINES.get(own, (None, None))))
+    for slot, (path, group) in [*((f"n{i}", x) for i, x in enumerate(NUMBERED)), (TEXT_SLOT, TEXT_FILE)]:
         head, tail = path.split("{}")
-        rows.append((f"n{i}", head, tail, True, group, None))
+        rows.append((slot, head, tail, True, group, None, None, None))
     return rows
 
 
+def _without_text():
+    """Slots whose file does not show the document's text."""
+    return [row[0] for row in _slots() if row[5] is not None or row[4] == "image"]
+
+
 def _snippets():
     return [(group, k, body) for group, bodies in SNIPPETS.items() for k, body in enumerate(bodies)]
 
@@ -225,15 +268,23 @@ def files(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
         F.concat_ws(".", "source", block, variant).alias("repo"), "doc_id", "text",
         F.when(place < roots, F.concat(F.lit("r"), place, F.lit("."), (variant + block) % 4))
         .otherwise(F.concat(F.lit("n"), (place - roots + variant * 7) % len(NUMBERED))).alias("slot"),
-        ((place + variant + block + shift) % 3).cast("int").alias("k"))
-    slots = values_table(spark, ("slot", "head", "tail", "numbered", "grp", "own"), _slots())
+        ((place + variant + block + shift) % 3).cast("int").alias("k"), (variant + STRIDE * block).alias("turn"))
+    rows = rows.withColumn("slot", F.explode(F.when(
+        F.col("slot").isin(*_without_text()), F.array("slot", F.lit(TEXT_SLOT))).otherwise(F.array("slot"))))
+    slots = values_table(spark, ("slot", "head", "tail", "numbered", "grp", "own", "names", "line"), _slots())
     snippets = values_table(spark, ("grp", "k", "body"), _snippets())
     joined = rows.join(F.broadcast(slots), "slot").join(F.broadcast(snippets), ["grp", "k"], "left")
     path = F.concat("head", F.when(F.col("numbered"), F.col("doc_id").cast("string")).otherwise(""), "tail")
     body = F.replace(F.col("body"), F.lit("@PEER@"), (F.col("doc_id") - STRIDE).cast("string"))
+    names = F.split("names", " ")
+    lines = F.concat(*[F.replace(F.col("line"), F.lit("@N@"), F.get(names, ((F.col("turn") * PICKS + j) % F.size(names)).cast("int")))
+                       for j in range(PICKS)])
+    own = F.replace(F.col("own"), F.lit("@LINES@"), F.coalesce(lines, F.lit("")))
+    own = F.replace(own, F.lit("@WORD@"), F.coalesce(F.regexp_extract("text", f"({WORD})", 1), F.lit("")))
+    own = F.replace(own, F.lit("@ID@"), F.col("doc_id").cast("string"))
     content = (
         F.when(F.col("grp") == "image", F.lit(None))
-        .otherwise(F.coalesce("own", F.concat("text", F.lit("\n"), body)))
+        .otherwise(F.coalesce(own, F.concat("text", F.lit("\n"), body)))
     )
     size = F.when(F.col("grp") == "image", F.length("text") * 301).otherwise(F.octet_length(content))
     return files_from_rows(joined.select("repo", path.alias("path"), content.alias("content"),
@@ -267,10 +318,14 @@ def values_sql(rows) -> str:
 def files_sql(shift: int = 0, name: str = "files") -> str:
     """Common table expressions that end in ``files`` (without a leading WITH)."""
     roots = len(ROOT)
+    lines = " || ".join(
+        f"replace(s.line, '@N@', string_split(s.names, ' ')[(r.turn * {PICKS} + {j}) % len(string_split(s.names, ' ')) + 1])"
+        for j in range(PICKS))
+    hidden = ", ".join(_quote(slot) for slot in _without_text())
     return f"""
-{name}_slots(slot, head, tail, numbered, grp, own) AS ({values_sql(_slots())}),
+{name}_slots(slot, head, tail, numbered, grp, own, names, line) AS ({values_sql(_slots())}),
 {name}_snippets(grp, k, body) AS ({values_sql(_snippets())}),
-{name}_rows AS (
+{name}_places AS (
   SELECT source || '.' || CAST(doc_id // {BLOCK} AS VARCHAR) || '.' || CAST(doc_id % {STRIDE} AS VARCHAR) AS repo,
     doc_id, text,
     CASE WHEN (doc_id % {BLOCK}) // {STRIDE} < {roots}
@@ -278,12 +333,17 @@ def files_sql(shift: int = 0, name: str = "files") -> str:
         || CAST((doc_id % {STRIDE} + doc_id // {BLOCK}) % 4 AS VARCHAR)
       ELSE 'n' || CAST(((doc_id % {BLOCK}) // {STRIDE} - {roots} + (doc_id % {STRIDE}) * 7) % {len(NUMBERED)} AS VARCHAR)
     END AS slot,
-    ((doc_id % {BLOCK}) // {STRIDE} + doc_id % {STRIDE} + doc_id // {BLOCK} + {shift}) % 3 AS k
+    ((doc_id % {BLOCK}) // {STRIDE} + doc_id % {STRIDE} + doc_id // {BLOCK} + {shift}) % 3 AS k,
+    doc_id % {STRIDE} + {STRIDE} * (doc_id // {BLOCK}) AS turn
   FROM documents),
+{name}_rows AS (
+  SELECT * FROM {name}_places UNION ALL SELECT * REPLACE ('{TEXT_SLOT}' AS slot) FROM {name}_places WHERE slot IN ({hidden})),
 {name}_raw AS (
   SELECT r.repo, s.head || CASE WHEN s.numbered THEN CAST(r.doc_id AS VARCHAR) ELSE '' END || s.tail AS path,
     CASE WHEN s.grp = 'image' THEN NULL
-      ELSE coalesce(s.own, regexp_replace(r.text, '\\r\\n?', chr(10), 'g') || chr(10)
+      ELSE coalesce(
+        replace(replace(replace(s.own, '@LINES@', coalesce({lines}, '')), '@WORD@', coalesce(regexp_extract(r.text, '{WORD}'), '')),
+          '@ID@', CAST(r.doc_id AS VARCHAR)), regexp_replace(r.text, '\\r\\n?', chr(10), 'g') || chr(10)
         || replace(n.body, '@PEER@', CAST(r.doc_id - {STRIDE} AS VARCHAR))) END AS content,
     s.grp, length(r.text) AS text_chars
   FROM {name}_rows r JOIN {name}_slots s USING (slot) LEFT JOIN {name}_snippets n ON n.grp = s.grp AND n.k = r.k),
