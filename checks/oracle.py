@@ -531,7 +531,7 @@ WHERE list_has_any(l.langs, ['javascript', 'typescript'])""")
 SELECT repo, count(*) FILTER (severity = 'critical') AS critical, count(*) FILTER (severity = 'warning') AS warning,
   count(*) FILTER (severity = 'info') AS info, count(*) AS total FROM hits GROUP BY repo""")
     sql["scan_conversations"] = with_ctes(TURNS, hits_sql(queries.HARDCODED + queries.TEXT_SECRETS),
-                                          select="SELECT repo, rule, severity, path AS file, line FROM hits")
+                                          select="SELECT repo, rule, severity, path AS file, line, match FROM hits")
 
     sql["large_images"] = with_ctes(FILES, IMAGES, select="SELECT repo, file, size_kb, 'An image of ' || size_kb || ' KB.' AS message FROM images")
     sql["missing_opts"] = with_ctes(FILES, DEPS, FRAMEWORKS, MISSING, select="SELECT * FROM missing_opts")
@@ -630,7 +630,7 @@ GROUP BY ALL""", f"""tasks AS (
 FROM (SELECT DISTINCT repo FROM files) LEFT JOIN (
   SELECT repo, CAST(sum(CASE WHEN severity = 'critical' AND after_count > before_count THEN after_count - before_count ELSE 0 END) AS BIGINT) AS new_critical
   FROM diff GROUP BY repo) USING (repo)""")
-    sql["area_findings"] = with_ctes(FILES, hits_sql(R.GENERAL), select=f"SELECT repo, rule, path AS file, line FROM hits WHERE contains(lower(path), {q(queries.AREA)})")
+    sql["area_findings"] = with_ctes(FILES, hits_sql(R.GENERAL), select=f"SELECT repo, rule, path AS file, line, match FROM hits WHERE contains(lower(path), {q(queries.AREA)})")
     sql["feature_slugs"] = """SELECT p_partkey, coalesce(nullif(trim(regexp_replace(lower(p_name || ' / ' || p_type), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'feature') AS slug FROM part"""
 
     sql["rescan_stream"] = with_ctes(DOCS, hits_sql(queries.HARDCODED), select="SELECT repo, rule, path AS file, line, match FROM hits")

@@ -16,7 +16,7 @@ from fleetlint.operators import (
     cost, dependencies, knowledge, manifests, packs, performance, report, scan, security, stack, testing, walk,
 )
 from fleetlint.plans.fleet import FleetScan
-from fleetlint.plans.storage import materialise
+from fleetlint.plans.storage import materialise, new_path
 from fleetlint.sources.corpus import files_from_texts
 from fleetlint.streaming import rate_limit, rescan, run
 
@@ -322,7 +322,7 @@ def scan_conversations(spark, sf_dir):
     files = files_from_texts(turns, F.col("conv_id").cast("string"),
                              F.concat_ws("_", "role", "turn"), F.col("text"))
     hits = scan.scan_rules(files, HARDCODED + TEXT_SECRETS)
-    return hits.select("repo", "rule", "severity", F.col("path").alias("file"), "line")
+    return hits.select("repo", "rule", "severity", F.col("path").alias("file"), "line", "match")
 
 
 # --- Performance ------------------------------------------------------------
@@ -550,7 +550,7 @@ def quality_gate(spark, sf_dir):
 @query
 def area_findings(spark, sf_dir):
     hits = scan.scan_rules(corpus.files(spark, sf_dir), R.GENERAL).withColumnRenamed("path", "file")
-    return report.area_findings(hits, AREA).select("repo", "rule", "file", "line")
+    return report.area_findings(hits, AREA).select("repo", "rule", "file", "line", "match")
 
 
 @query
@@ -566,8 +566,8 @@ def rescan_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "documents").schema
     docs = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet")
     changes = files_from_texts(docs, F.col("source"), F.concat(F.lit("doc_"), "doc_id", F.lit(".txt")), F.col("text"))
-    stamped = changes.withColumn("changed_at", F.timestamp_seconds(F.length("content")))
-    hits = run.available_now(rescan.rescan(stamped, HARDCODED), "rescan")
+    stamped = changes.withColumn("changed_at", F.timestamp_seconds(F.regexp_extract("path", "([0-9]+)", 1).cast("long")))
+    hits = rescan.rescan_available(stamped, HARDCODED, new_path(spark, "rescan"))
     return hits.select("repo", "rule", F.col("path").alias("file"), "line", "match")
 
 

@@ -26,12 +26,28 @@ def test_rescan_equals_batch_and_skips_unchanged_files(spark, make_files, tmp_pa
     write(first, tmp_path / "in", "1")
     write(again, tmp_path / "in", "2")
     stream = stream_of(spark, first.schema, str(tmp_path / "in"))
-    got = run.available_now(rescan.rescan(stream, GENERAL), "t")
+    got = rescan.rescan_available(stream, GENERAL, str(tmp_path / "out"))
     batch = scan_rules(first.unionByName(again).select(*FILE_COLUMNS).distinct(), GENERAL)
     key = lambda df: sorted((r.path, r.rule, r.line) for r in df.collect())
     assert key(got) == key(batch) == [("a.py", "todo_fixme", 1), ("b.py", "todo_fixme", 2), ("b.py", "todo_fixme", 3)]
 
 
+def test_rescan_reads_reverted_and_late_versions(spark, make_files, tmp_path):
+    def state(name, text, minutes):
+        return make_files([("r", name, text)]).withColumn("changed_at", F.lit(START + dt.timedelta(minutes=minutes)))
+
+    states = [state("a.py", "TODO", 0), state("a.py", "x\nTODO", 5), state("a.py", "TODO", 6), state("a.py", "TODO", 7),
+              state("b.py", "FIXME", -9000), state("a.py", None, 9)]
+    for i, rows in enumerate(states):
+        write(rows, tmp_path / "in", str(i))
+    got = rescan.rescan_available(stream_of(spark, states[0].schema, str(tmp_path / "in")), GENERAL, str(tmp_path / "out"))
+    assert sorted((r.path, r.line, r.changed_at.minute) for r in got.collect()) == [
+        ("a.py", 1, 0), ("a.py", 1, 6), ("a.py", 2, 5), ("b.py", 1, 0)]
+    whole = rescan.changed_versions(reduce(DataFrame.unionByName, states).where("content IS NOT NULL").select(
+        "repo", "path", "changed_at", F.col("content").alias("version")), None, "changed_at")
+    assert whole.count() == 4
+
+
 def test_rate_limit_drops_late_events(spark, tmp_path):
     def events(rows):
         return spark.createDataFrame([(START + dt.timedelta(seconds=s), u) for s, u in rows], "ts timestamp, user string")
