@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?:!|\?)[^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>?", re.S)
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: A quoted string without a name, or a whole name and its value: names are read one after another, never inside a value.
+_ATTRIBUTE = re.compile(r""""[^"]*"|'[^']*'|([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>][^\s>]*))?""")
+_ATTRIBUTES = frozenset("class id role hidden aria-hidden style".split())
 #: Elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
@@ -38,9 +41,14 @@ class Node:
     def blocks(self) -> list[Node]:
         """Block children, also those inside inline elements."""
         out = []
-        for child in self.children:
+        stack = self.children[::-1]
+        while stack:
+            child = stack.pop()
             if isinstance(child, Node):
-                out += [child] if child.tag in BLOCK else child.blocks()
+                if child.tag in BLOCK:
+                    out.append(child)
+                else:
+                    stack += child.children[::-1]
         return out
 
 
@@ -76,7 +84,8 @@ def parse(source: str) -> Node:
                     break
         attributes = {}
         for name, value in _ATTRIBUTE.findall(match[3]) if match[3] else ():
-            attributes[name.lower()] = html.unescape(value.strip("\"'")).lower()
+            if name.lower() in _ATTRIBUTES:
+                attributes[name.lower()] = html.unescape(value.strip("\"'")).lower()
         node = Node(tag, attributes)
         stack[-1].children.append(node)
         if tag in RAW:
@@ -95,49 +104,95 @@ def squeeze(text: str) -> str:
 def text_of(node: Node) -> str:
     """All text below a node, in one line; raw elements have none."""
     out: list[str] = []
+    stack: list = node.children[::-1]
+    while stack:
+        child = stack.pop()
+        if isinstance(child, str):
+            out.append(child)
+        elif child.tag not in RAW:
+            stack += [" ", *child.children[::-1], " "]
+    return squeeze("".join(out))
+
+
+def block_texts(root: Node) -> Iterator[tuple[Node, str]]:
+    """Each block below a root and the root itself with its ``text_of``, in one walk."""
+    pieces: list[str] = []
+    line: list[str] = []
+    stack = [(root, iter(root.children), 0)]
 
-    def walk(n: Node) -> None:
-        for child in n.children:
+    def flush() -> None:
+        text = squeeze("".join(line))
+        line.clear()
+        if text:
+            pieces.append(text)
+
+    while stack:
+        node, rest, start = stack[-1]
+        for child in rest:
             if isinstance(child, str):
-                out.append(child)
+                line.append(child)
             elif child.tag not in RAW:
-                out.append(" ")
-                walk(child)
-                out.append(" ")
-
-    walk(node)
-    return squeeze("".join(out))
+                flush()
+                stack.append((child, iter(child.children), len(pieces)))
+                break
+        else:
+            flush()
+            stack.pop()
+            if node.tag in BLOCK or node is root:
+                yield node, " ".join(pieces[start:])
+
+
+def _board(left: list[dict], right: list[Node], weight: dict) -> list[list[int]]:
+    """Most pairs of the first i template children and the first j blocks."""
+    best = [[0] * (len(right) + 1)]
+    for t in left:
+        above, row, repeat = best[-1], [0], t["repeat"]
+        for j, n in enumerate(right, 1):
+            most = above[j] if above[j] > row[-1] else row[-1]
+            w = weight.get((id(t), id(n)), 0)
+            if w:
+                most = max(most, above[j - 1] + w, row[-1] + w if repeat else 0)
+            row.append(most)
+        best.append(row)
+    return best
 
 
 def match(template: dict, node: Node, into: list | None = None) -> int:
     """Simple tree matching: the most pairs of an order-keeping alignment that respects parents.
 
     Template nodes are dicts with ``key``, ``children`` and ``repeat``; a repeating one takes any
-    number of neighbours. With ``into``, the aligned pairs are appended to it.
+    number of neighbours. With ``into``, the aligned pairs are appended to it. Trees may be of any depth.
     """
     if tuple(template["key"]) != node.key:
         return 0
-    left, right = template["children"], node.blocks()
-    best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
-    weight = [[match(t, n) for n in right] for t in left]
-    for i, t in enumerate(left, 1):
-        for j in range(1, len(right) + 1):
-            w = weight[i - 1][j - 1]
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + w if w else 0,
-                             best[i][j - 1] + w if w and t["repeat"] else 0)
-    if into is not None:
-        into.append((template, node))
+    pairs = [(template, node, node.blocks())]
+    for t, _, right in pairs:  # grows by the pairs of children with equal keys
+        keys = [n.key for n in right]
+        for child in t["children"]:
+            key = tuple(child["key"])
+            pairs += [(child, n, n.blocks()) for n, k in zip(right, keys, strict=True) if k == key]
+    weight: dict[tuple[int, int], int] = {}
+    for t, n, right in reversed(pairs):
+        weight[id(t), id(n)] = 1 + (_board(t["children"], right, weight)[-1][-1] if right and t["children"] else 0)
+    todo = [(template, node)] if into is not None else []
+    while todo:
+        t, n = todo.pop()
+        into.append((t, n))
+        left, right = t["children"], n.blocks()
+        best = _board(left, right, weight)
         i, j = len(left), len(right)
+        inner = []
         while i and j:
-            w = weight[i - 1][j - 1]
+            w = weight.get((id(left[i - 1]), id(right[j - 1])), 0)
             if w and left[i - 1]["repeat"] and best[i][j] == best[i][j - 1] + w:
-                match(left[i - 1], right[j - 1], into)
+                inner.append((left[i - 1], right[j - 1]))
                 j -= 1
             elif w and best[i][j] == best[i - 1][j - 1] + w:
-                match(left[i - 1], right[j - 1], into)
+                inner.append((left[i - 1], right[j - 1]))
                 i, j = i - 1, j - 1
             elif best[i][j] == best[i][j - 1]:
                 j -= 1
             else:
                 i -= 1
-    return 1 + best[-1][-1]
+        todo += inner[::-1]
+    return weight[id(template), id(node)]

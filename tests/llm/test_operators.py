@@ -276,6 +276,13 @@ def test_tree_matching():
     assert dom.match(html_text.new_template(a), b) == 5 and dom.text_of(b) == "1 x 3 4"
 
 
+def test_attribute_names_are_read_exactly():
+    kept = ("<a href='/hidden-valley'>one</a> <p title='a hidden story'>two</p><div data-role=dialog>three</div><div data-id='menu'>four</div>"
+            "<p data-x=hidden>five<p title='class=\"promo\"'>six</p>")
+    assert html_text.main_text(kept).split() == ["one", "two", "three", "four", "five", "six"]
+    assert html_text.main_text("<p>a<p HIDDEN>b<p class = 'x promo'>c<div role=dialog>d</div><p id=menu>e<p style='display: none'>f") == "a"
+
+
 def test_toxicity(spark, empty):
     rng, rows, labels = random.Random(1), [], []
     for i in range(600):
