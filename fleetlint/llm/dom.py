@@ -30,6 +30,7 @@ class Node:
     tag: str
     attributes: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)  # nodes and strings
+    _blocks: list | None = None
 
     @property
     def key(self) -> tuple[str, str]:
@@ -39,8 +40,10 @@ class Node:
         return [c for c in self.children if isinstance(c, Node)]
 
     def blocks(self) -> list[Node]:
-        """Block children, also those inside inline elements."""
-        out = []
+        """Block children, also those inside inline elements. Asked of whole trees only; the answer is kept."""
+        if self._blocks is not None:
+            return self._blocks
+        out = self._blocks = []
         stack = self.children[::-1]
         while stack:
             child = stack.pop()

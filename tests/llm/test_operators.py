@@ -283,6 +283,28 @@ def test_attribute_names_are_read_exactly():
     assert html_text.main_text("<p>a<p HIDDEN>b<p class = 'x promo'>c<div role=dialog>d</div><p id=menu>e<p style='display: none'>f") == "a"
 
 
+def test_deep_pages(spark):
+    deep = "<div>" * 5000 + "<span>" * 5000 + "words"
+    a, b = dom.parse(deep), dom.parse(deep + " more")
+    assert dom.match(html_text.new_template(a), b, []) == 5001 and dom.text_of(b) == "words more"
+    pages = spark.createDataFrame([(k, "https://deep.example/", deep + str(k)) for k in range(4)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.main_texts(pages).collect()} == {k: f"words{k}" for k in range(4)}
+
+
+def test_blocks_and_layouts_that_the_sample_misses(spark):
+    def source(k):
+        notice = "<div class=x7>We move house in May</div>" if k % 10 == 0 else ""
+        if k % 20 == 5:
+            return f"<html><body class=b><section><div class=y>Our other layout says this</div><div class=z><p>Other {k}<p>More {k}</div></section></body></html>"
+        return f"<html><body><div class=c><h1>T{k}</h1>{notice}<p>Text {k}</p><p>Second {k}</p></div></body></html>"
+
+    rows = [(k, f"https://big.example/{k}", source(k)) for k in range(200)]
+    pages = spark.createDataFrame(rows + rows[:50], "page_id long, url string, html string")
+    for sample in (1, html_text.SAMPLE):
+        got = {r.page_id: r.text for r in html_text.main_texts(pages, sample=sample).collect()}
+        assert got == {k: f"Other {k}\nMore {k}" if k % 20 == 5 else f"T{k}\nText {k}\nSecond {k}" for k in range(200)}
+
+
 def test_toxicity(spark, empty):
     rng, rows, labels = random.Random(1), [], []
     for i in range(600):
