@@ -26,32 +26,37 @@ class StretchCache:
     def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES):
         self.encode_strings, self.entries = encode, entries
         self.known: dict[str, bytes] = {}
+        self.known_first: dict[str, bytes] = {}  # first stretches of texts follow no space
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
         """The ids of each text."""
         out: list[bytes | None] = [None] * len(texts)
-        parts: list[tuple[int, list[str]]] = []
+        parts: list[tuple[int, str, list[str]]] = []
         whole: list[int] = []
         missing: set[str] = set()
+        missing_first: set[str] = set()
         for i, text in enumerate(texts):
             if _OTHER_SPACE.search(text):
                 whole.append(i)
                 continue
-            stretches = text.replace("\n", " \n").split(" ")
-            stretches[0] = "\0" + stretches[0]  # the first one follows no space
+            first, *stretches = text.replace("\n", " \n").split(" ")
             missing.update(stretches)
-            parts.append((i, stretches))
+            missing_first.add(first)
+            parts.append((i, first, stretches))
         missing.difference_update(self.known)
-        if missing:
-            if len(self.known) + len(missing) > self.entries:
-                self.known = {}
-                missing = set().union(*(s for _, s in parts)) if parts else set()
-            wanted = sorted(missing)
-            strings = [s[1:] if s[:1] == "\0" else s if s[:1] == "\n" else " " + s for s in wanted]
-            self.known.update(zip(wanted, self.encode_strings(strings), strict=True))
+        missing_first.difference_update(self.known_first)
+        if missing or missing_first:
+            if len(self.known) + len(self.known_first) + len(missing) + len(missing_first) > self.entries:
+                self.known, self.known_first = {}, {}
+                missing = set().union(*(s for _, _, s in parts))
+                missing_first = {first for _, first, _ in parts}
+            wanted, wanted_first = sorted(missing), sorted(missing_first)
+            ids = self.encode_strings([s if s[:1] == "\n" else " " + s for s in wanted] + wanted_first)
+            self.known.update(zip(wanted, ids[:len(wanted)], strict=True))
+            self.known_first.update(zip(wanted_first, ids[len(wanted):], strict=True))
         find = self.known.__getitem__
-        for i, stretches in parts:
-            out[i] = b"".join(map(find, stretches))
+        for i, first, stretches in parts:
+            out[i] = self.known_first[first] + b"".join(map(find, stretches))
         for i, ids in zip(whole, self.encode_strings([texts[i] for i in whole]) if whole else [], strict=True):
             out[i] = ids
         return out

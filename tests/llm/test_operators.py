@@ -198,6 +198,13 @@ def test_stretches_equal_the_library():
         assert [np.frombuffer(b, "<u4").tolist() for b in cache.encode_texts(ODD)] == [library_ids(t) for t in ODD]
 
 
+def test_stretches_with_nul_equal_the_library():
+    encoder, _ = tokens.library_encoder(packing.TOKENIZER)
+    nul = ["b c", "a \0b", "\0b", " \0b", "a\n\0b", "\0", "a \0", "b"]
+    for cache in (tokens.StretchCache(encoder.encode_strings), tokens.StretchCache(encoder.encode_strings, entries=4)):
+        assert [np.frombuffer(b, "<u4").tolist() for b in cache.encode_texts(nul)] == [library_ids(t) for t in nul]
+
+
 def test_byte_bpe_equals_the_library(docs, empty, texts):
     import tiktoken
 
