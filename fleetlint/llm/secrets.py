@@ -9,8 +9,9 @@ reported only where complementary parts of a credential meet within ``SCOPE`` co
   with an identifier or an endpoint in scope;
 * ``endpoint``, an address or a named host: with an identifier and a secret in scope.
 
-The parts of a document are rows; a range frame over their positions is the interval join,
-so its work is linear in the number of parts and no pair is formed. Only documents with a
+The distance of two parts is the gap between them, 0 where they overlap; their lengths do not count.
+The parts of a document are rows; the largest end before and the smallest start after each part are the
+interval join, so its work is linear in the number of parts and no pair is formed. Only documents with a
 weak part take part in it.
 
 Positions are code points, end exclusive. Matches are found with SQL expressions: the pieces
@@ -83,14 +84,19 @@ def linked(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
     keys = ["doc_id", "text_key"]
     rows = parts.where(F.size("weak") > 0).dropDuplicates(keys).select(
         *keys, F.explode(F.concat("base", "weak")).alias("span")).select(*keys, "span.*")
-    near = Window.partitionBy(*keys).orderBy("start").rangeBetween(-scope, scope)
+    ordered = Window.partitionBy(*keys).orderBy("start")
+    back = ordered.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy(*keys).orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
 
     def there(*kinds: str) -> Column:
-        return F.max(F.col("rank").isin([KINDS.index(k) for k in kinds])).over(near)
+        of_kind = F.col("rank").isin([KINDS.index(k) for k in kinds])
+        before = F.col("start") - F.max(F.when(of_kind, F.col("end"))).over(back) <= scope
+        after = F.min(F.when(of_kind, F.col("start"))).over(ahead) - F.col("end") <= scope
+        return F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False))
 
     # a weak match that repeats a base match is that match, not another secret
     strong = F.max(F.when(F.col("rank") < len(BASE), F.col("end"))).over(
-        Window.partitionBy(*keys).orderBy("start").rangeBetween(Window.unboundedPreceding, 0))
+        ordered.rangeBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumns({
         "has_ident": there("access", "ident"), "has_secret": there("assign", "hex", "weak"),
         "has_endpoint": there("endpoint"), "covered": F.coalesce(strong, F.lit(0)) > F.col("start")})

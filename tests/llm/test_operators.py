@@ -179,6 +179,17 @@ def test_secrets(spark, empty):
     assert secrets.find(empty).count() == secrets.redact(empty).count() == 0
 
 
+def test_scope_is_the_gap_between_parts(spark):
+    long = "to" + "ken=" + "aB3." * 250
+    rows = [(1, long + "\nuser=bob\nhost=db.example.org"), (2, "user=bob\nhost=db.example.org\n" + long), (3, "https://x.org/" + "a/" * 500 + " user=bob pwd: hunter22"),
+            (4, long + " " * 301 + "user=bob"), (5, "user=bob" + " " * 301 + long), (6, long + " " * 300 + "user=bob")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [s.split(":")[0] for s in r.s.split(",")] for r in secrets.find(docs).select("doc_id", secrets.as_text("spans").alias("s")).collect()}
+    assert got[1] == ["assign", "ident", "endpoint"] and got[2] == ["ident", "endpoint", "assign"] and got[3] == ["endpoint", "ident", "weak"]
+    assert got[4] == got[5] == ["assign"] and got[6] == ["assign", "ident"]
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()}[1] == "[SECRET]\n[SECRET]\n[SECRET]"
+
+
 def library_ids(text):
     from tokenizers import Tokenizer
 
