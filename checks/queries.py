@@ -539,7 +539,7 @@ def _two_states(spark, sf_dir):
 
 @query
 def findings_diff(spark, sf_dir):
-    return _two_states(spark, sf_dir)
+    return _two_states(spark, sf_dir).drop("match_key")
 
 
 @query

@@ -8,6 +8,7 @@ they are spelled out.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Sequence
 
@@ -87,15 +88,15 @@ def python_matches(rules: Sequence[Rule], match_chars: int):
     def rows(index: int, text: str) -> list[tuple]:
         pattern, exists_only = compiled[index]
         if exists_only:
-            return [(None, None, None)] if pattern.search(text) else []
+            return [(None, None, None, None)] if pattern.search(text) else []
         found, line, last = [], 1, 0
         for m in pattern.finditer(text):
             line += text.count("\n", last, m.start())
             last = m.start()
-            found.append((line, m.group(0)[:match_chars], m.group(0)[-TAIL_CHARS:]))
+            found.append((line, m.group(0)[:match_chars], m.group(0)[-TAIL_CHARS:], hashlib.sha256(m.group(0).encode()).hexdigest()))
         return found
 
-    @F.pandas_udf("array<struct<line:int,match:string,match_end:string>>")
+    @F.pandas_udf("array<struct<line:int,match:string,match_end:string,match_key:string>>")
     def match(index: pd.Series, text: pd.Series) -> pd.Series:
         return pd.Series([rows(i, t) for i, t in zip(index, text)], dtype=object)
 
@@ -147,7 +148,7 @@ def _sum(numbers: Column) -> Column:
 
 
 def match_rows(pieces: Column, match_chars: int = 120) -> Column:
-    """``array<struct<line, match, match_end>>`` from :func:`match_pieces`.
+    """``array<struct<line, match, match_end, match_key>>`` from :func:`match_pieces`.
 
     The line of match k is one more than the newlines before it. Newlines are
     counted once per piece and summed in blocks, so that a text with very many
@@ -171,6 +172,7 @@ def match_rows(pieces: Column, match_chars: int = 120) -> Column:
                     ).alias("line"),
                     F.left(F.substring_index(piece, CLOSE, 1), F.lit(match_chars)).alias("match"),
                     F.right(F.substring_index(piece, CLOSE, 1), F.lit(TAIL_CHARS)).alias("match_end"),
+                    F.sha2(F.substring_index(piece, CLOSE, 1), 256).alias("match_key"),
                 ),
             ),
         ))

@@ -33,7 +33,7 @@ FINDING_SCHEMA = (
     "repo string, layer string, type string, rule string, category string, severity string, message string, "
     "fix string, file string, line int, match string, package string, packages array<string>, service string, "
     "service_id string, billing_model string, risk_level string, detected_via array<string>, secret_type string, "
-    "match_preview string, size_kb int, estimated_size_kb int, trap string"
+    "match_preview string, size_kb int, estimated_size_kb int, trap string, match_key string"
 )
 _FIELDS = [tuple(field.split(" ", 1)) for field in FINDING_SCHEMA.replace(", ", ",").split(",")]
 
@@ -222,10 +222,13 @@ _DIFF_KEY = ("repo", "rule", "file", "match")
 def findings_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """``new``, ``fixed`` and ``kept`` findings by repository, rule, file and match.
 
+    Where both sides have a ``match_key``, the hash of the whole match, it belongs to the key and to the
+    result: matches that only agree in what is shown of them are different findings.
     Both sides are counted per key in one aggregation, with partial sums before its
     shuffle: a key that occurs very often costs one row per input partition.
     """
-    columns = [*_DIFF_KEY, "severity"]
+    whole = ["match_key"] if "match_key" in before.columns and "match_key" in after.columns else []
+    columns = [*_DIFF_KEY, *whole, "severity"]
     both = (
         before.select(*columns, F.lit(1).alias("b"), F.lit(0).alias("a"))
         .unionByName(after.select(*columns, F.lit(0).alias("b"), F.lit(1).alias("a")))

@@ -50,10 +50,10 @@ _ELIGIBLE = {
 
 def scan(files: DataFrame, rules: Sequence[Rule], match_chars: int = MATCH_CHARS,
          carry: Sequence[str] = ()) -> DataFrame:
-    """``repo, path, test_langs, rule_ix, line, match, match_end`` plus the columns in ``carry``.
+    """``repo, path, test_langs, rule_ix, line, match, match_end, match_key`` plus the columns in ``carry``.
 
     One row per match; rules that only ask for existence give one row per file with
-    neither line nor match. ``rule_ix`` is the position in ``rules``. Where ``files``
+    neither line nor match. ``match_key`` is the SHA-256 of the whole match. ``rule_ix`` is the position in ``rules``. Where ``files``
     has a flag ``in_first``, pattern rules read flagged files only.
     """
     kinds = sorted({rule.kind for rule in rules})
@@ -109,7 +109,7 @@ def scan(files: DataFrame, rules: Sequence[Rule], match_chars: int = MATCH_CHARS
 def _native_hits(pairs: DataFrame, rules, keep: Sequence[str], match_chars: int) -> DataFrame:
     nothing = F.array(F.struct(
         F.lit(None).cast("int").alias("line"), F.lit(None).cast("string").alias("match"),
-        F.lit(None).cast("string").alias("match_end")))
+        F.lit(None).cast("string").alias("match_end"), F.lit(None).cast("string").alias("match_key")))
     scanned = [(i, rule) for i, rule in rules if not rule.exists_only]
     if not scanned:
         return pairs.select(*keep, F.inline(nothing))
@@ -155,7 +155,7 @@ def pattern_findings(hits: DataFrame, language_names: DataFrame, dedupe: bool =
     joined = join_per_repo(hits, language_names, spread=["path"])
     return joined.select(
         "repo", "rule", F.explode(category).alias("category"), "severity", "message", "fix",
-        F.col("path").alias("file"), "line", "match")
+        F.col("path").alias("file"), "line", "match", "match_key")
 
 
 def scan_project(files: DataFrame, language_names: DataFrame, rules: Sequence[Rule] = PATTERN_RULES,

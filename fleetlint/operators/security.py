@@ -35,7 +35,7 @@ def secret_findings(hits: DataFrame) -> DataFrame:
     return hits.where(F.col("kind") == "secret").select(
         "repo", F.lit("exposed_secret").alias("type"), F.col("rule").alias("secret_type"),
         F.col("path").alias("file"), "line", "severity", "message", "fix",
-        mask(F.col("match"), F.col("match_end")).alias("match_preview"))
+        mask(F.col("match"), F.col("match_end")).alias("match_preview"), "match_key")
 
 
 def auth_findings(hits: DataFrame) -> DataFrame:

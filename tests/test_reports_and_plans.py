@@ -143,3 +143,13 @@ def test_another_copy_of_a_critical_finding_fails_the_gate(spark):
     diff = report.findings_diff(one, one.union(one))
     assert [(r.new_critical, r.passed) for r in report.quality_gate(diff).collect()] == [(1, False)]
     assert [r.passed for r in report.quality_gate(report.findings_diff(one, one)).collect()] == [True]
+
+
+def test_long_matches_that_begin_alike_are_different_findings(spark, make_files):
+    start = "key=" + "a" * 200
+    rules = [Rule("pattern", "general", "k", "critical", r"key=\w+"), Rule("pattern", "general", "p", "critical", r"(?P<my_name>key=\w+)")]
+    states = [scan.scan_rules(make_files([("r", "x.js", start + end), ("s", "x.js", start)]), rules).withColumnRenamed("path", "file")
+              for end in ("1", "2")]
+    diff = report.findings_diff(*states)
+    assert {tuple(r) for r in report.quality_gate(diff).collect()} == {("r", 2, False), ("s", 0, True)}
+    assert Counter(r.status for r in diff.collect()) == {"new": 2, "fixed": 2, "kept": 2}
