@@ -40,12 +40,23 @@ def list_tree(spark: SparkSession, root: str, prune: Sequence[str] = ()) -> Data
     would lose ``.env``, ``.gitignore`` and ``__init__.py``. So folders are listed by
     tasks, one level of all repositories at a time: a huge repository is spread over as
     many tasks as it has folders. Folders named in ``prune`` are not entered.
+    :func:`list_tree_with_errors` also names the folders that are gone or forbidden.
+    """
+    return list_tree_with_errors(spark, root, prune)[0]
+
+
+def list_tree_with_errors(spark: SparkSession, root: str, prune: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """:func:`list_tree`, and ``path, error`` of the folders that are gone or may not be read.
+
+    Any other I/O error fails its task, so that Spark tries it again.
     """
     root = root.rstrip("/")
     folders = spark.createDataFrame([("",)], "folder string")
-    levels = []
+    levels, failed = [], []
     while True:
         found = materialise(folders.mapInArrow(_list_folders(root, tuple(prune)), _ENTRY_SCHEMA), "listing")
+        failed.append(found.where(F.col("error").isNotNull()).select(F.col("entry").alias("path"), "error"))
+        found = found.where(F.col("error").isNull())
         levels.append(found.where(~F.col("is_dir") & F.col("entry").contains("/")))
         deeper = found.where("is_dir").select(F.col("entry").alias("folder"))
         count = deeper.count()
@@ -55,28 +66,46 @@ def list_tree(spark: SparkSession, root: str, prune: Sequence[str] = ()) -> Data
     files = reduce(DataFrame.unionByName, levels)
     return files.select(
         F.substring_index("entry", "/", 1).alias("repo"),
-        F.regexp_replace("entry", r"^[^/]*/", "").alias("path"), "size_bytes")
+        F.regexp_replace("entry", r"^[^/]*/", "").alias("path"), "size_bytes"), reduce(DataFrame.unionByName, failed)
 
 
 def read_tree(spark: SparkSession, root: str, prune: Sequence[str] = ()) -> DataFrame:
     """The ``files`` table of a folder of repositories; the first folder names the repository.
 
-    Images keep their size but no text. Files that cannot be read are left out, bytes
+    Images keep their size but no text. Files that are gone or forbidden are left out
+    (:func:`read_tree_with_errors` names them), bytes
     that are no UTF-8 are dropped. Reading is shared among tasks by path, so no task
     depends on how the files are spread over repositories.
     """
+    return _read_tree(spark, root, prune)[0]
+
+
+def read_tree_with_errors(spark: SparkSession, root: str, prune: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """:func:`read_tree`, and ``path, error`` of the files and folders that are gone or may not be read.
+
+    Any other I/O error fails its task, so that Spark tries it again. What was read is stored once, so both tables tell of the same read.
+    """
+    return _read_tree(spark, root, prune, stored=True)
+
+
+def _read_tree(spark: SparkSession, root: str, prune: Sequence[str], stored: bool = False) -> tuple[DataFrame, DataFrame]:
     root = root.rstrip("/")
-    listed = list_tree(spark, root, prune)
+    listed, failed = list_tree_with_errors(spark, root, prune)
     image = text.suffix(text.file_name(F.col("path"))).isin(*IMAGE_SUFFIXES)
     images = listed.where(image).select("repo", "path", "size_bytes", F.lit(None).cast("string").alias("content"))
     parts = max(spark.sparkContext.defaultParallelism, listed.rdd.getNumPartitions())
     raw = listed.where(~image).repartition(parts, "repo", "path").mapInArrow(_read_files(root), _RAW_SCHEMA)
-    texts = raw.select("repo", "path", "size_bytes", text.decode_text(F.col("raw")).alias("content"))
-    return with_path_parts(images.unionByName(texts)).select(*FILE_COLUMNS)
+    if stored:
+        raw = materialise(raw, "raw-files")
+    failed = failed.unionByName(raw.where(F.col("error").isNotNull()).select(F.concat_ws("/", "repo", "path").alias("path"), "error"))
+    texts = raw.where(F.col("error").isNull()).select("repo", "path", "size_bytes", text.decode_text(F.col("raw")).alias("content"))
+    return with_path_parts(images.unionByName(texts)).select(*FILE_COLUMNS), failed
 
 
-_ENTRY_SCHEMA = "entry string, is_dir boolean, size_bytes bigint"
-_RAW_SCHEMA = "repo string, path string, size_bytes bigint, raw binary"
+_ENTRY_SCHEMA = "entry string, is_dir boolean, size_bytes bigint, error string"
+_RAW_SCHEMA = "repo string, path string, size_bytes bigint, raw binary, error string"
+#: Errors that another try cannot mend; they are recorded.
+_LASTING = (FileNotFoundError, PermissionError)
 _BATCH_BYTES = 32 << 20
 _BATCH_ROWS = 50_000
 
@@ -91,7 +120,10 @@ def _list_folders(root: str, prune: tuple[str, ...]):
             for folder in batch.column("folder").to_pylist():
                 try:
                     infos = system.get_file_info(fs.FileSelector(f"{base}/{folder}" if folder else base))
-                except OSError:
+                except _LASTING as error:
+                    yield pa.RecordBatch.from_pydict({
+                        "entry": pa.array([folder], pa.string()), "is_dir": pa.array([True], pa.bool_()),
+                        "size_bytes": pa.array([None], pa.int64()), "error": pa.array([str(error)], pa.string())})
                     continue
                 kept = [i for i in infos if i.base_name not in prune]
                 for start in range(0, len(kept), _BATCH_ROWS):
@@ -99,7 +131,7 @@ def _list_folders(root: str, prune: tuple[str, ...]):
                     yield pa.RecordBatch.from_pydict({
                         "entry": pa.array([f"{folder}/{i.base_name}" if folder else i.base_name for i in part], pa.string()),
                         "is_dir": pa.array([i.type == fs.FileType.Directory for i in part], pa.bool_()),
-                        "size_bytes": pa.array([i.size for i in part], pa.int64())})
+                        "size_bytes": pa.array([i.size for i in part], pa.int64()), "error": pa.nulls(len(part), pa.string())})
 
     return run
 
@@ -114,18 +146,19 @@ def _read_files(root: str):
         def flush(rows):
             return pa.RecordBatch.from_pydict({
                 "repo": pa.array([r[0] for r in rows], pa.string()), "path": pa.array([r[1] for r in rows], pa.string()),
-                "size_bytes": pa.array([r[2] for r in rows], pa.int64()), "raw": pa.array([r[3] for r in rows], pa.binary())})
+                "size_bytes": pa.array([r[2] for r in rows], pa.int64()), "raw": pa.array([r[3] for r in rows], pa.binary()),
+                "error": pa.array([r[4] for r in rows], pa.string())})
 
         rows, held = [], 0
         for batch in batches:
             for repo, path, size in zip(*(batch.column(c).to_pylist() for c in ("repo", "path", "size_bytes"))):
                 try:
                     with system.open_input_stream(f"{base}/{repo}/{path}", compression=None) as stream:
-                        raw = stream.read()
-                except OSError:
-                    continue
-                rows.append((repo, path, size, raw))
-                held += len(raw)
+                        raw, failure = stream.read(), None
+                except _LASTING as error:
+                    raw, failure = None, str(error)
+                rows.append((repo, path, size, raw, failure))
+                held += len(raw or b"")
                 if held >= _BATCH_BYTES:
                     yield flush(rows)
                     rows, held = [], 0

@@ -76,3 +76,23 @@ def test_eligibility(spark, make_files):
 def test_root_entries_see_files_and_folders(spark, make_files):
     files = make_files([("r", p, "") for p in ("Makefile", "terraform/x/y.tf", "sub/Makefile", "config/routes.rb", ".vercel/a")])
     assert sorted(r.entry for r in walk.root_entries(files).collect()) == [".vercel", "Makefile", "config/routes.rb", "terraform"]
+
+
+def test_unreadable_files_are_recorded_and_other_errors_fail(spark, tmp_path):
+    import pyarrow as pa
+    import pytest
+
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "a.py").write_text("x")
+    (tmp_path / "r" / "gone.py").write_text("y")
+    files, errors = corpus._read_tree(spark, str(tmp_path), ())
+    (tmp_path / "r" / "gone.py").unlink()  # after the listing
+    assert [r.path for r in files.collect()] == ["a.py"] and [r.path for r in errors.collect()] == ["r/gone.py"]
+    files, errors = corpus.read_tree_with_errors(spark, str(tmp_path))
+    assert [r.path for r in files.collect()] == ["a.py"] and errors.count() == 0
+    gone = list(corpus._list_folders(str(tmp_path), ())([pa.RecordBatch.from_pydict({"folder": ["none"]})]))
+    assert [(b.column("entry")[0].as_py(), b.column("error")[0].is_valid) for b in gone] == [("none", True)]
+    for run, columns in ((corpus._list_folders(str(tmp_path), ()), {"folder": ["r" * 300]}),
+                         (corpus._read_files(str(tmp_path)), {"repo": ["r"], "path": ["x" * 300], "size_bytes": [1]})):
+        with pytest.raises(OSError):
+            list(run([pa.RecordBatch.from_pydict(columns)]))
