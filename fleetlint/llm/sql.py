@@ -63,4 +63,23 @@ SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(c) AS component_id, d.doc_id
 FROM documents d LEFT JOIN sizes USING (doc_id) JOIN reach ON reach.node = d.doc_id GROUP BY d.doc_id, n
 """
 
-ORACLES = {"op4_near_dedup": NEAR_DEDUP, "op2_exact_dedup": EXACT_DEDUP, "op9_secrets": SECRETS}
+HARD_NEGATIVES = r"""
+WITH r AS (SELECT vec_id, CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS INTEGER) AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+a AS (SELECT * FROM r WHERE vec_id % 100 = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS alabel, r.vec_id, r.label,
+    CAST(coalesce(list_sum(list_transform(range(1, least(len(a.v), len(r.v)) + 1), lambda i: a.v[i] * r.v[i])), 0) AS BIGINT) AS score
+  FROM a, r),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM (
+    SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS k FROM s
+    WHERE label = alabel AND vec_id <> anchor_id) WHERE k <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.alabel
+    AND 80 * p.positive_score <= 100 * s.score AND 100 * s.score <= 100 * p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
+ORACLES = {"op13_hard_negatives": HARD_NEGATIVES, "op4_near_dedup": NEAR_DEDUP, "op2_exact_dedup": EXACT_DEDUP, "op9_secrets": SECRETS}
