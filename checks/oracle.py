@@ -454,6 +454,7 @@ def _popular() -> str:
 def build() -> dict[str, str]:
     sql = {}
     sql["corpus_scan"] = with_ctes(FILES, select="SELECT repo, path, name, suffix, array_to_string(dirs, ',') AS dirs, size_bytes, coalesce(md5(content), '') AS content_md5 FROM files")
+    sql["tree_roundtrip"] = sql["corpus_scan"]
     flags = {
         "rule_source": RULE_SOURCE, "secret_source": SECRET_SOURCE, "code": CODE, "ratio_source": RATIO,
         "stack_counted": COUNTED, "image_dirs": not_below(P.IMAGE_SKIP_DIRS), "react_dirs": not_below(P.REACT_SKIP_DIRS),

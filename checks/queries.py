@@ -17,7 +17,8 @@ from fleetlint.operators import (
 )
 from fleetlint.plans.fleet import FleetScan
 from fleetlint.plans.storage import materialise, new_path
-from fleetlint.sources.corpus import files_from_texts
+from fleetlint.sources.corpus import files_from_texts, read_tree
+from fleetlint.sources.sinks import write_tree
 from fleetlint.streaming import rate_limit, rescan, run
 
 FIRST_N = 20
@@ -70,6 +71,16 @@ def corpus_scan(spark, sf_dir):
         F.coalesce(F.md5("content"), F.lit("")).alias("content_md5"))
 
 
+@query
+def tree_roundtrip(spark, sf_dir):
+    """The derived corpus written as a folder tree and read back by ``read_tree`` (byte-range tasks)."""
+    root = new_path(spark, "tree")
+    write_tree(corpus.files(spark, sf_dir), root)
+    return read_tree(spark, root).select(
+        "repo", "path", "name", "suffix", joined("dirs"), "size_bytes",
+        F.coalesce(F.md5("content"), F.lit("")).alias("content_md5"))
+
+
 @query
 def eligible_files(spark, sf_dir):
     tests = {

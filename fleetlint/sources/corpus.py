@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlint.catalog.paths import IMAGE_SUFFIXES
@@ -93,8 +93,7 @@ def _read_tree(spark: SparkSession, root: str, prune: Sequence[str], stored: boo
     listed, failed = list_tree_with_errors(spark, root, prune)
     image = text.suffix(text.file_name(F.col("path"))).isin(*IMAGE_SUFFIXES)
     images = listed.where(image).select("repo", "path", "size_bytes", F.lit(None).cast("string").alias("content"))
-    parts = max(spark.sparkContext.defaultParallelism, listed.rdd.getNumPartitions())
-    raw = listed.where(~image).repartition(parts, "repo", "path").mapInArrow(_read_files(root), _RAW_SCHEMA)
+    raw = by_byte_ranges(listed.where(~image)).mapInArrow(_read_files(root), _RAW_SCHEMA)
     if stored:
         raw = materialise(raw, "raw-files")
     failed = failed.unionByName(raw.where(F.col("error").isNotNull()).select(F.concat_ws("/", "repo", "path").alias("path"), "error"))
@@ -102,6 +101,53 @@ def _read_tree(spark: SparkSession, root: str, prune: Sequence[str], stored: boo
     return with_path_parts(images.unionByName(texts)).select(*FILE_COLUMNS), failed
 
 
+def split_bytes(spark: SparkSession) -> int:
+    """Bytes of files a reading task takes: the session's ``spark.sql.files.maxPartitionBytes``."""
+    value = spark.conf.get("spark.sql.files.maxPartitionBytes", "128m")
+    return int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(value))
+
+
+def byte_ranges(listed: DataFrame, target: int) -> tuple[DataFrame, int]:
+    """``repo, path, size_bytes, part``: files cut into ranges of about ``target`` bytes by a running sum.
+
+    The running sum is distributed: each partition of the stored listing sums its own files
+    (ordered by repository and path), and the partitions' totals, one row per partition,
+    become offsets. A file's part is ``floor(start / target)`` of the byte where it starts, so
+    a part holds at most ``target`` bytes plus the end of one file that starts in it. A
+    repository with a third of all bytes is cut like any other range.
+    """
+    spark = listed.sparkSession
+    stored = materialise(listed.select("repo", "path", F.coalesce("size_bytes", F.lit(0)).cast("long").alias("size_bytes")),
+                         "listing-sizes").withColumn("_pid", F.spark_partition_id())
+    totals = sorted((r["_pid"], r["t"]) for r in stored.groupBy("_pid").agg(F.sum("size_bytes").alias("t")).collect())
+    offsets, total = [], 0
+    for pid, t in totals:
+        offsets.append((pid, total))
+        total += t
+    parts = max(1, -(-total // target))
+    if not offsets:
+        return stored.select("repo", "path", "size_bytes", F.lit(0).cast("long").alias("part")), 1
+    starts = spark.createDataFrame(offsets, "_pid int, _offset long")
+    within = Window.partitionBy("_pid").orderBy("repo", "path").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = stored.withColumn("_end", F.sum("size_bytes").over(within)).join(F.broadcast(starts), "_pid")
+    start = F.col("_offset") + F.col("_end") - F.col("size_bytes")
+    return placed.select("repo", "path", "size_bytes", F.least(F.floor(start / target), F.lit(parts - 1)).cast("long").alias("part")), parts
+
+
+def by_byte_ranges(listed: DataFrame, target: int | None = None) -> DataFrame:
+    """``repo, path, size_bytes`` with each byte range of :func:`byte_ranges` in a partition of its own.
+
+    Only the narrow listing rows move; partition ``i`` holds exactly range ``i`` (an identity
+    partitioner, which the DataFrame API has not), and the file texts are read afterwards
+    inside that partition.
+    """
+    spark = listed.sparkSession
+    ranged, parts = byte_ranges(listed, target or split_bytes(spark))
+    placed = (ranged.rdd.map(lambda r: (r["part"], (r["repo"], r["path"], r["size_bytes"])))
+              .partitionBy(parts, lambda part: part).values())
+    return spark.createDataFrame(placed, "repo string, path string, size_bytes long")
+
+
 _ENTRY_SCHEMA = "entry string, is_dir boolean, size_bytes bigint, error string"
 _RAW_SCHEMA = "repo string, path string, size_bytes bigint, raw binary, error string"
 #: Errors that another try cannot mend; they are recorded.

@@ -16,3 +16,38 @@ def write_findings(findings: DataFrame, path: str, mode: str = "overwrite") -> N
         findings.sortWithinPartitions("layer", "severity", "repo", "file", "line")
         .write.mode(mode).partitionBy("layer", "severity").parquet(path)
     )
+
+
+def write_tree(files: DataFrame, root: str) -> DataFrame:
+    """Write a ``files`` table as a folder tree ``root/<repo>/<path>`` and return what was written.
+
+    Each task writes the files of its own rows (texts as UTF-8; a file without text, such as
+    an image, as ``size_bytes`` zero bytes), so no file passes through the driver. The result,
+    ``repo, path, size_bytes``, is stored, which is the action that writes the tree.
+    """
+    from fleetlint.plans.storage import materialise
+
+    root = root.rstrip("/")
+
+    def run(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            repos, paths, sizes, written = [], [], [], []
+            for repo, path, size, content in zip(*(batch.column(c).to_pylist() for c in ("repo", "path", "size_bytes", "content"))):
+                data = content.encode("utf-8", "surrogatepass") if content is not None else bytes(size or 0)
+                target = f"{base}/{repo}/{path}"
+                system.create_dir(target.rsplit("/", 1)[0], recursive=True)
+                with system.open_output_stream(target, compression=None) as out:
+                    out.write(data)
+                repos.append(repo)
+                paths.append(path)
+                sizes.append(size)
+                written.append(len(data))
+            yield pa.RecordBatch.from_pydict({"repo": pa.array(repos, pa.string()), "path": pa.array(paths, pa.string()),
+                                              "size_bytes": pa.array(written, pa.int64())})
+
+    rows = files.select("repo", "path", "size_bytes", "content").mapInArrow(run, "repo string, path string, size_bytes long")
+    return materialise(rows, "written-tree")
