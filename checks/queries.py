@@ -13,7 +13,7 @@ from fleetlint.catalog.services import SERVICE_RULES
 from fleetlint.catalog.packs import PACKS
 from fleetlint.functions.text import slugify
 from fleetlint.operators import (
-    cost, dependencies, knowledge, manifests, packs, performance, report, scan, security, stack, testing, walk,
+    cost, dependencies, knowledge, manifests, packs, performance, report, rule_table, scan, security, stack, testing, walk,
 )
 from fleetlint.plans.fleet import FleetScan
 from fleetlint.plans.storage import materialise, new_path
@@ -274,6 +274,28 @@ def _scan_pack(name):
 for _name in PACKS:
     QUERIES[f"pack_{_name}"] = _scan_pack(_name)
 
+TABLE_RULES = 1000
+
+
+def table_rules(spark):
+    """The catalog packs (``typescript`` extends ``javascript``), 1,000 generated rules and one bad pattern, as rows."""
+    generated = [("generated", f"call_{k}", "info", rf"\b(?:old|legacy)_api_{k}\s*\(", "A retired call.", "Use the new one.",
+                  None, True, True) for k in range(TABLE_RULES)]
+    bad = [("generated", "unclosed_group", "info", r"(unclosed\s+group", "", "", None, True, True)]
+    return rule_table.rules_table(spark, PACKS).unionByName(spark.createDataFrame(generated + bad, rule_table.RULE_SCHEMA))
+
+
+@query
+def pack_table_scan(spark, sf_dir):
+    """Matches of all rule rows over the corpus in one plan, and a row with the problem of each rejected rule."""
+    rules = table_rules(spark)
+    hits = rule_table.scan_table(corpus.files(spark, sf_dir), rules).withColumn("problem", F.lit(None).cast("string"))
+    problems = rule_table.rejected(rules).select(
+        F.lit(None).cast("string").alias("repo"), F.lit(None).cast("string").alias("path"), "pack", "rule_id",
+        F.lit(None).cast("string").alias("severity"), F.lit(None).cast("int").alias("line"),
+        *[F.lit(None).cast("string").alias(c) for c in ("match", "match_end", "match_key")], "problem")
+    return hits.unionByName(problems)
+
 
 @query
 def scan_documents(spark, sf_dir):
