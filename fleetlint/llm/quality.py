@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlint.llm.tables import let
+from fleetlint.plans.storage import materialise
 
 # Fixed values of the base rules (the contract's patterns and limits).
 SPACE = r"[\x20\x09-\x0D]"
@@ -44,49 +45,45 @@ COLUMNS = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_rep
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """``doc_id, lang, source`` and the base counts of each document, row by row (no shuffle)."""
+    """``doc_id, lang, source`` and the base counts of each document, row by row (no shuffle).
+
+    Built-in expressions that Spark compiles: ``regexp_count`` for words, ``array_distinct``
+    for repeated lines and windows. Only texts with a repeated 3-word window evaluate the
+    per-element form that finds which words such windows cover.
+    """
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    words = F.filter(F.split(text, SPACE + "+"), lambda w: w != F.lit(""))
-    lines = F.split(text, "\n", -1)
+    lines = F.array_remove(F.split(F.regexp_replace(text, _BLANK_LINE, ""), "\n", -1), "")
+    flat = F.trim(F.regexp_replace(text, SPACE + "+", " "))
     counted = docs.select(
         docs["doc_id"].cast("bigint").alias("doc_id"),
         docs["lang"].cast("string").alias("lang") if "lang" in docs.columns else F.lit(None).cast("string").alias("lang"),
         docs["source"].cast("string").alias("source") if "source" in docs.columns else F.lit(None).cast("string").alias("source"),
-        words.alias("_words"), lines.alias("_lines"), text.alias("_text"))
+        text.alias("_text"), lines.alias("_lines"), F.regexp_extract_all(flat, F.lit(_WINDOWS), 1).alias("_windows"))
     return counted.select(
         "doc_id", "lang", "source",
-        F.size("_words").cast("bigint").alias("n_words"),
+        F.regexp_count("_text", F.lit(WORD + "+")).cast("bigint").alias("n_words"),
         F.length(F.regexp_replace("_text", SPACE, "")).cast("bigint").alias("word_chars"),
         (F.length("_text") - F.length(F.regexp_replace("_text", SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
-        _dup_lines(F.col("_lines")).alias("n_dup_lines"),
-        F.size(F.filter("_lines", lambda s: s.rlike(WORD))).cast("bigint").alias("n_word_lines"),
-        _repeat_words(F.col("_words")).alias("n_repeat_words"),
+        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
+        F.size("_lines").cast("bigint").alias("n_word_lines"),
+        F.when(F.size(F.array_distinct("_windows")) < F.size("_windows"), _covered(F.col("_windows")))
+        .otherwise(F.lit(0)).cast("bigint").alias("n_repeat_words"),
     )
 
 
-def _dup_lines(lines: Column) -> Column:
-    """Lines with a word that equal an earlier line: sort (line, position), compare neighbours.
-
-    The sorted array is bound once (``let``); a higher-order body would otherwise sort again per element.
-    """
-    tagged = F.array_sort(F.transform(F.filter(lines, lambda s: s.rlike(WORD)), lambda s, i: F.struct(s.alias("s"), i.alias("i"))))
-    return let(tagged, lambda t: F.size(F.filter(F.sequence(F.lit(1), F.size(t) - 1),
-                                                 lambda i: F.get(t, i)["s"] == F.get(t, i - 1)["s"]))).cast("bigint")
+# A line without a word (only white space other than \n); the windows: each word start with the two words after it.
+_BLANK_LINE = r"(?m)^[\x20\x09\x0B\x0C\x0D]*$"
+_WINDOWS = r"(?:^| )(?=([^ ]+ [^ ]+ [^ ]+))"
 
 
-def _repeat_words(words: Column) -> Column:
+def _covered(windows: Column) -> Column:
     """Word positions covered by a 3-word window that occurs at least twice in the text.
 
     Windows are sorted with their start; a window repeats when a sorted neighbour is
     equal. The covered positions are the union of each repeating window's three words.
+    The sorted array is bound once (``let``); a higher-order body would otherwise sort again per element.
     """
-    return let(words, _covered).cast("bigint")
-
-
-def _covered(words: Column) -> Column:
-    n = F.size(words) - (WINDOW - 1)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    windows = F.transform(starts, lambda i: F.struct(F.array_join(F.slice(words, i + 1, WINDOW), " ").alias("w"), i.alias("i")))
+    tagged = F.transform(windows, lambda w, i: F.struct(w.alias("w"), i.alias("i")))
 
     def repeated(ordered: Column) -> Column:
         last = F.size(ordered) - 1
@@ -96,7 +93,7 @@ def _covered(words: Column) -> Column:
         starts = F.transform(repeating, lambda k: F.get(ordered, k)["i"])
         return F.size(F.array_distinct(F.flatten(F.transform(starts, lambda i: F.sequence(i, i + (WINDOW - 1))))))
 
-    return F.when(n > 0, let(F.array_sort(windows), repeated)).otherwise(F.lit(0))
+    return let(F.sort_array(tagged), repeated)
 
 
 def with_ratios(counts: DataFrame) -> DataFrame:
@@ -127,21 +124,27 @@ def thresholds(scored: DataFrame, far: float = 3.0, floor: float = 0.05, accurac
 
 
 def resolved(fences: DataFrame, min_group: int) -> DataFrame:
-    """One row of fences per (lang, source): its own if it has ``min_group`` documents, else its lang's, else all."""
+    """One row of fences per (lang, source): its own if it has ``min_group`` documents, else its lang's, else all.
+
+    The fences are stored first (one row per group); the single overall row is read back
+    and enters as literals, so no join with a constant key is planned.
+    """
     names = [f"{r}_{e}" for r in RATIOS for e in ("hi", "lo")]
-    own = fences.where(F.col("level") == 0).alias("p")
-    lang = fences.where(F.col("level") == 1).alias("l")
-    every = fences.where(F.col("level") == 3).withColumn("_one", F.lit(1)).alias("o")
-    both = own.withColumn("_one", F.lit(1)).join(lang, F.col("p.lang").eqNullSafe(F.col("l.lang")), "left").join(every, "_one")
+    stored = materialise(fences, "quality-fences")
+    overall = stored.where(F.col("level") == 3).select(*names).collect()
+    every = overall[0].asDict() if overall else dict.fromkeys(names)
+    own = stored.where(F.col("level") == 0).alias("p")
+    lang = stored.where(F.col("level") == 1).alias("l")
+    both = own.join(lang, F.col("p.lang").eqNullSafe(F.col("l.lang")), "left")
     pick = [F.when(F.col("p.n_docs") >= min_group, F.col(f"p.{c}"))
-            .when(F.col("l.n_docs") >= min_group, F.col(f"l.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in names]
+            .when(F.col("l.n_docs") >= min_group, F.col(f"l.{c}")).otherwise(F.lit(every[c]).cast("double")).alias(c) for c in names]
     level = F.when(F.col("p.n_docs") >= min_group, 0).when(F.col("l.n_docs") >= min_group, 1).otherwise(3)
     return both.select(F.col("p.lang").alias("lang"), F.col("p.source").alias("source"), level.alias("level"), *pick)
 
 
 def judged(docs: DataFrame, min_group: int = 50, far: float = 3.0, salts: int = 32) -> DataFrame:
     """Every document row with its base counts, ``base_failed``, ``kept``, its ratios and the level of its fences."""
-    scored = with_ratios(base_counts(docs))
+    scored = materialise(with_ratios(base_counts(docs)), "quality-counts")
     fences = resolved(thresholds(scored, far=far), min_group)
     rows = scored.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "n_words", "word_chars"), F.lit(salts)).cast("int"))
     copies = fences.select(*[F.col(c).alias(f"_t_{c}") for c in fences.columns]).withColumn(
