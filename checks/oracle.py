@@ -578,6 +578,12 @@ FROM test_counts c LEFT JOIN (SELECT repo, count(*) AS n FROM untested GROUP BY
 LEFT JOIN (SELECT repo, count(*) AS n FROM smells GROUP BY repo) s USING (repo) LEFT JOIN t USING (repo)""")
 
     sql["findings_union"] = everything("SELECT repo, layer, type, rule, category, severity, file, line, package, service_id, secret_type, trap FROM findings")
+    sql["findings_ordered"] = everything("""SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'critical' THEN 0
+  WHEN 'warning' THEN 1 WHEN 'info' THEN 2 ELSE 3 END, repo NULLS FIRST, layer NULLS FIRST, file, line, type, rule, category,
+  package, service_id, secret_type, trap) AS position FROM (SELECT repo, layer, severity, coalesce(line, 0) AS line,
+  coalesce(type, '') AS type, coalesce(rule, '') AS rule, coalesce(category, '') AS category, coalesce(file, '') AS file,
+  coalesce(package, '') AS package, coalesce(service_id, '') AS service_id, coalesce(secret_type, '') AS secret_type,
+  coalesce(trap, '') AS trap FROM findings)""")
     sql["severity_rollup"] = everything("""SELECT repo, count(*) FILTER (severity = 'critical') AS critical,
   count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info, count(severity) AS total
 FROM (SELECT DISTINCT repo FROM files) LEFT JOIN findings USING (repo) GROUP BY repo""")

@@ -15,6 +15,7 @@ from fleetlint.functions.text import slugify
 from fleetlint.operators import (
     cost, dependencies, knowledge, manifests, packs, performance, report, rule_table, scan, security, stack, testing, walk,
 )
+from fleetlint.plans import skew
 from fleetlint.plans.fleet import FleetScan
 from fleetlint.plans.storage import materialise, new_path
 from fleetlint.sources.corpus import files_from_texts, read_tree
@@ -509,6 +510,15 @@ def findings_union(spark, sf_dir):
     return found.select("repo", "layer", "severity", F.coalesce("line", F.lit(0)).alias("line"), *blank)
 
 
+@query
+def findings_ordered(spark, sf_dir):
+    """All findings in report order (severity, repository, layer, file, line, then the rest), numbered over the whole table."""
+    found = findings_union(spark, sf_dir).withColumn("_severity", report.severity_rank())
+    order = [F.col(c).asc_nulls_first() for c in ("_severity", "repo", "layer", "file", "line", "type", "rule", "category",
+                                                  "package", "service_id", "secret_type", "trap")]
+    return skew.global_positions(found, order).drop("_severity")
+
+
 @query
 def severity_rollup(spark, sf_dir):
     fleet = _fleet(spark, sf_dir)

@@ -42,3 +42,34 @@ def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
         .withColumn(rank, F.row_number().over(last))
         .where(F.col(rank) <= k)
     )
+
+
+def global_positions(df: DataFrame, order: Sequence[Column], name: str = "position", parts: int | None = None) -> DataFrame:
+    """``df`` with ``name``: each row's place (from 1) in ``order`` over the whole table.
+
+    No window over all rows (one task): rows are range-partitioned by the order and sorted in
+    each partition, a row's index inside its partition comes from
+    ``monotonically_increasing_id`` (partition in the upper bits, index in the lower 33), and
+    the partitions' row counts, one row per partition, become offsets. Rows equal in every
+    column of ``order`` share a range, so ties fall into one partition and are numbered
+    there in an undefined but complete way. The sorted table is stored once so that the
+    numbers and the counts come from one run.
+    """
+    from fleetlint.plans.storage import materialise
+
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    tagged = materialise(ordered.withColumn("_mid", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_mid", 33).cast("int")
+    counts = sorted((r["_part"], r["n"]) for r in tagged.groupBy(part.alias("_part")).agg(F.count("*").alias("n")).collect())
+    offsets, total = [], 0
+    for p, n in counts:
+        offsets.append((p, total))
+        total += n
+    if not offsets:
+        return tagged.drop("_mid").withColumn(name, F.lit(None).cast("long"))
+    starts = spark.createDataFrame(offsets, "_part int, _offset long")
+    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
+    return (tagged.withColumn("_part", part).join(F.broadcast(starts), "_part")
+            .withColumn(name, F.col("_offset") + local + 1).drop("_part", "_offset", "_mid"))

@@ -153,3 +153,20 @@ def test_long_matches_that_begin_alike_are_different_findings(spark, make_files)
     diff = report.findings_diff(*states)
     assert {tuple(r) for r in report.quality_gate(diff).collect()} == {("r", 2, False), ("s", 0, True)}
     assert Counter(r.status for r in diff.collect()) == {"new": 2, "fixed": 2, "kept": 2}
+
+
+def test_global_positions_number_every_row_in_order(spark):
+    from pyspark.sql import functions as F
+
+    from fleetlint.plans.skew import global_positions
+
+    rows = [("hot" if i % 3 else f"r{i % 17}", i % 5, None if i % 11 == 0 else f"f{i % 7}") for i in range(2000)]
+    rows += [("hot", 1, "same")] * 50
+    df = spark.createDataFrame(rows, "repo string, level int, file string")
+    order = [F.col("level").asc_nulls_first(), F.col("repo").asc_nulls_first(), F.col("file").asc_nulls_first()]
+    got = sorted((r.position, r.level, r.repo, r.file) for r in global_positions(df, order, parts=7).collect())
+    assert [g[0] for g in got] == list(range(1, len(rows) + 1))
+    key = [(lvl, repo, (file is not None, file)) for _, lvl, repo, file in got]
+    assert key == sorted(key)
+    empty = spark.createDataFrame([], "repo string, level int, file string")
+    assert global_positions(empty, order).count() == 0
