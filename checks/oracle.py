@@ -557,6 +557,9 @@ LEFT JOIN (SELECT repo, count(*) FILTER (kind = 'secret') AS secrets, count(*) F
 LEFT JOIN (SELECT repo, count(*) AS n FROM dangerous GROUP BY repo) d USING (repo)""")
 
     sql["env_evidence"] = with_ctes(FILES, ENV, select="SELECT * FROM env_found")
+    sql["service_evidence"] = with_ctes(FILES, hits_sql(SERVICE_RULES), services_cte(), select=f"""SELECT repo, service_id,
+  count(*) AS n_evidence, least(count(*), {MAX_EVIDENCE}) AS shown, greatest(count(*) - {MAX_EVIDENCE}, 0) AS more_evidence
+FROM evidence GROUP BY repo, service_id""")
     sql["service_usage"] = with_ctes(FILES, hits_sql(SERVICE_RULES), services_cte(), select="SELECT repo, service_id, service, billing_model, risk_level, severity, detected_via FROM services")
     sql["detected_services"] = with_ctes(FILES, hits_sql(SERVICE_RULES), services_cte(), select=f"SELECT repo, service, billing_model, upper(risk_level) AS risk, left(message, {NOTE_CHARS}) AS notes FROM services")
     sql["scaling_traps"] = with_ctes(FILES, hits_sql(R.TRAPS), select="SELECT repo, rule AS trap, path AS file, severity FROM hits")

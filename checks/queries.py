@@ -439,6 +439,12 @@ def service_usage(spark, sf_dir):
                         joined("detected_via"))
 
 
+@query
+def service_evidence(spark, sf_dir):
+    files = corpus.files(spark, sf_dir)
+    return cost.evidence_counts(cost.env_evidence(files), cost.code_evidence(scan.scan_rules(files, SERVICE_RULES)))
+
+
 @query
 def detected_services(spark, sf_dir):
     files = corpus.files(spark, sf_dir)

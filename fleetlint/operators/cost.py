@@ -34,6 +34,18 @@ def code_evidence(hits: DataFrame) -> DataFrame:
         "repo", F.col("rule").alias("service_id"), "path", F.concat(F.lit("code:"), "path").alias("evidence"))
 
 
+def evidence_counts(env: DataFrame, code: DataFrame, shown: int = MAX_EVIDENCE) -> DataFrame:
+    """``repo, service_id, n_evidence, shown, more_evidence``: all evidence of a service, and how much the list leaves out.
+
+    Counted by a partial aggregation, so every piece of evidence is counted, also beyond
+    what :func:`service_findings` shows.
+    """
+    both = env.select("repo", "service_id").unionByName(code.select("repo", "service_id"))
+    return both.groupBy("repo", "service_id").agg(F.count("*").alias("n_evidence")).select(
+        "repo", "service_id", "n_evidence", F.least("n_evidence", F.lit(shown)).alias("shown"),
+        F.greatest(F.col("n_evidence") - shown, F.lit(0)).alias("more_evidence"))
+
+
 def service_findings(env: DataFrame, code: DataFrame) -> DataFrame:
     """One finding per repository and service with its first evidence.
 

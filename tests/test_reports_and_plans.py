@@ -170,3 +170,13 @@ def test_global_positions_number_every_row_in_order(spark):
     assert key == sorted(key)
     empty = spark.createDataFrame([], "repo string, level int, file string")
     assert global_positions(empty, order).count() == 0
+
+
+def test_evidence_beyond_the_shown_list_is_counted(spark):
+    from fleetlint.operators import cost
+
+    env = spark.createDataFrame([("a", "stripe", 0, "env:STRIPE_KEY")], "repo string, service_id string, ord int, evidence string")
+    code = spark.createDataFrame([("a", "stripe", f"src/f{i}.js", f"code:src/f{i}.js") for i in range(12)]
+                                 + [("b", "twilio", "x.py", "code:x.py")], "repo string, service_id string, path string, evidence string")
+    got = {(r.repo, r.service_id): (r.n_evidence, r.shown, r.more_evidence) for r in cost.evidence_counts(env, code).collect()}
+    assert got == {("a", "stripe"): (13, 5, 8), ("b", "twilio"): (1, 1, 0)}
