@@ -78,6 +78,8 @@ def mine(emb: DataFrame, positives: int = 5, negatives: int = 5, low: int = 80,
         anchors.withColumn("_proj", _projection(seed)).repartitionByRange(n_ab, "_proj", "row_key")
         .select(F.spark_partition_id().alias("ablock"), F.col("row_key").alias("akey"), "vec_id", "label", "ivec"),
         "hard-negative-anchors")
+    # The partitions actually made decide the blocks: a session may raise the count given to repartitionByRange.
+    n_ab = blocked.agg(F.max("ablock")).first()[0] + 1
     cands = rows.select(F.pmod(F.xxhash64("row_key"), F.lit(n_cb)).cast("int").alias("cblock"), "vec_id", "label", "ivec")
     find_package(spark)
 

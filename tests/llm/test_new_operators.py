@@ -148,3 +148,16 @@ def test_spanning_tree_bounds():
             gap = np.abs(x @ anchors[j] - x @ anchors[parent[j]])
             assert (gap <= edge[j] * np.sqrt((x.astype(float) ** 2).sum(1)) + 1e-6).all()
             assert math.isclose(edge[j], float(np.sqrt(((anchors[j] - anchors[parent[j]]) ** 2).sum())))
+
+
+def test_hard_negatives_when_the_session_raises_partition_counts(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    rows = embedding_rows(n=400)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, akey string")
+    want = sorted(hard_negatives.brute_force([(v, [None if x is None else float(np.float32(x)) for x in e] if e else e, lab)
+                                              for v, e, lab, _ in rows]))
+    original = DataFrame.repartitionByRange
+    monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, n, *cols: original(self, max(n, 11), *cols))
+    got = sorted(tuple(r) for r in hard_negatives.mine(df, block_anchors=2, block_rows=50).collect())
+    assert got == want
