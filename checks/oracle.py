@@ -587,6 +587,8 @@ LEFT JOIN (SELECT repo, count(*) AS n FROM smells GROUP BY repo) s USING (repo)
   coalesce(type, '') AS type, coalesce(rule, '') AS rule, coalesce(category, '') AS category, coalesce(file, '') AS file,
   coalesce(package, '') AS package, coalesce(service_id, '') AS service_id, coalesce(secret_type, '') AS secret_type,
   coalesce(trap, '') AS trap FROM findings)""")
+    sql["findings_cube"] = everything("""SELECT severity, layer, category, CAST(GROUPING(severity, layer, category) AS INTEGER) AS level,
+  count(*) AS findings, count(DISTINCT repo) AS repos FROM findings GROUP BY CUBE (severity, layer, category)""")
     sql["severity_rollup"] = everything("""SELECT repo, count(*) FILTER (severity = 'critical') AS critical,
   count(*) FILTER (severity = 'warning') AS warning, count(*) FILTER (severity = 'info') AS info, count(severity) AS total
 FROM (SELECT DISTINCT repo FROM files) LEFT JOIN findings USING (repo) GROUP BY repo""")

@@ -525,6 +525,12 @@ def findings_ordered(spark, sf_dir):
     return skew.global_positions(found, order).drop("_severity")
 
 
+@query
+def findings_cube(spark, sf_dir):
+    found = _fleet(spark, sf_dir).findings
+    return report.findings_cube(found.withColumn("category", F.coalesce("category", F.lit(""))))
+
+
 @query
 def severity_rollup(spark, sf_dir):
     fleet = _fleet(spark, sf_dir)

@@ -85,6 +85,18 @@ def _for_all(counts: DataFrame, repos: DataFrame | None) -> DataFrame:
     return counts if repos is None else repos.select("repo").distinct().join(counts, "repo", "left").na.fill(0)
 
 
+def findings_cube(findings: DataFrame) -> DataFrame:
+    """Findings counted for every combination of severity, layer and category, totals included.
+
+    One ``cube`` aggregation (partial aggregation, so a repository with a third of all
+    findings is summed map-side); ``level`` is ``grouping_id``: bit 2 set where severity is
+    summed over, bit 1 for layer, bit 0 for category. A null category is a group of its own.
+    """
+    return findings.cube("severity", "layer", "category").agg(
+        F.grouping_id().alias("level"), F.count("*").alias("findings"),
+        F.countDistinct("repo").alias("repos"))
+
+
 def severity_counts(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """Findings per severity; with ``repos`` also a row for each repository without any."""
     return _for_all(findings.groupBy("repo").agg(
