@@ -638,6 +638,7 @@ GROUP BY ALL""", f"""tasks AS (
   sec_critical AS security_critical, risk AS cost_risk, coverage AS test_coverage FROM wide""", langs, wide)
 
     sql["findings_diff"] = with_ctes(*_diff(), select="SELECT * FROM diff")
+    sql["findings_replaced"] = with_ctes(*_diff(), select="SELECT repo, rule, path AS file, line, severity, match FROM h2")
     sql["quality_gate"] = with_ctes(*_diff(), select="""SELECT repo, coalesce(new_critical, 0) AS new_critical, coalesce(new_critical, 0) = 0 AS passed
 FROM (SELECT DISTINCT repo FROM files) LEFT JOIN (
   SELECT repo, CAST(sum(CASE WHEN severity = 'critical' AND after_count > before_count THEN after_count - before_count ELSE 0 END) AS BIGINT) AS new_critical

@@ -19,7 +19,7 @@ from fleetlint.plans import skew
 from fleetlint.plans.fleet import FleetScan
 from fleetlint.plans.storage import materialise, new_path
 from fleetlint.sources.corpus import files_from_texts, read_tree
-from fleetlint.sources.sinks import write_tree
+from fleetlint.sources.sinks import replace_repos, write_buckets, write_tree
 from fleetlint.streaming import rate_limit, rescan, run
 
 FIRST_N = 20
@@ -592,6 +592,27 @@ def _two_states(spark, sf_dir):
     return report.findings_diff(*states)
 
 
+def _state(spark, sf_dir, shift):
+    hits = scan.scan_rules(corpus.files(spark, sf_dir, shift), R.GENERAL + R.DATABASE)
+    return hits.select("repo", "rule", F.col("path").alias("file"), "line", "severity", "match", "match_key")
+
+
+@query
+def findings_replaced(spark, sf_dir):
+    """Findings stored by repository bucket, then the repositories whose findings changed replaced by their later state."""
+    path = new_path(spark, "findings")
+    before, after = _state(spark, sf_dir, 0), _state(spark, sf_dir, 1)
+    write_buckets(before, path)
+
+    def fingerprint(df):
+        return df.groupBy("repo").agg(F.count("*").alias("n"), F.sum(F.xxhash64("rule", "file", "line", "match_key").cast("decimal(38,0)")).alias("h"))
+
+    a, b = fingerprint(before).alias("a"), fingerprint(after).alias("b")
+    changed = a.join(b, "repo", "full_outer").where(~F.col("a.n").eqNullSafe(F.col("b.n")) | ~F.col("a.h").eqNullSafe(F.col("b.h")))
+    replace_repos(after, changed.select("repo"), path)
+    return spark.read.parquet(path).drop("bucket", "match_key")
+
+
 @query
 def findings_diff(spark, sf_dir):
     return _two_states(spark, sf_dir).drop("match_key")

@@ -51,3 +51,47 @@ def write_tree(files: DataFrame, root: str) -> DataFrame:
 
     rows = files.select("repo", "path", "size_bytes", "content").mapInArrow(run, "repo string, path string, size_bytes long")
     return materialise(rows, "written-tree")
+
+
+BUCKETS = 64
+
+
+def _bucket(buckets: int):
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.xxhash64("repo"), F.lit(buckets)).cast("int")
+
+
+def write_buckets(findings: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Store findings partitioned by a hash bucket of the repository (``bucket=<n>`` folders)."""
+    findings.withColumn("bucket", _bucket(buckets)).write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def replace_repos(findings: DataFrame, changed: DataFrame, path: str, buckets: int = BUCKETS) -> list[int]:
+    """Replace the stored findings of the repositories in ``changed`` by their rows in ``findings``.
+
+    Only the buckets of changed repositories are rewritten (dynamic partition overwrite);
+    inside them, the rows of unchanged repositories are carried over, so writing the same
+    repositories twice gives the same table. A bucket left without rows is removed. The
+    rows to write are stored first, since a job may not overwrite what it reads. Returns the
+    rewritten buckets (at most ``buckets`` numbers).
+    """
+    from pyspark.sql import functions as F
+
+    from fleetlint.plans.storage import materialise
+
+    spark = findings.sparkSession
+    repos = changed.select("repo").distinct()
+    touched = sorted(r["b"] for r in repos.select(_bucket(buckets).alias("b")).distinct().collect())
+    if not touched:
+        return []
+    old = spark.read.parquet(path).where(F.col("bucket").isin(touched)).join(repos, "repo", "left_anti")
+    new = findings.join(repos, "repo", "left_semi").withColumn("bucket", _bucket(buckets))
+    rows = materialise(old.unionByName(new.select(*old.columns)), "replaced-buckets")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    filled = {r["bucket"] for r in rows.select("bucket").distinct().collect()}
+    jvm = spark.sparkContext._jvm
+    for b in set(touched) - filled:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/bucket={b}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    return touched

@@ -180,3 +180,37 @@ def test_evidence_beyond_the_shown_list_is_counted(spark):
                                  + [("b", "twilio", "x.py", "code:x.py")], "repo string, service_id string, path string, evidence string")
     got = {(r.repo, r.service_id): (r.n_evidence, r.shown, r.more_evidence) for r in cost.evidence_counts(env, code).collect()}
     assert got == {("a", "stripe"): (13, 5, 8), ("b", "twilio"): (1, 1, 0)}
+
+
+def test_replace_repos_rewrites_only_their_buckets(spark, tmp_path):
+    import os
+
+    from fleetlint.sources.sinks import replace_repos, write_buckets
+
+    schema = "repo string, rule string, line int"
+    before = spark.createDataFrame([(f"r{i}", "x", j) for i in range(40) for j in range(3)], schema)
+    path = str(tmp_path / "findings")
+    write_buckets(before, path, buckets=8)
+
+    def files():
+        return {d: sorted(os.listdir(os.path.join(path, d))) for d in os.listdir(path) if d.startswith("bucket=")}
+
+    first = files()
+    after = spark.createDataFrame([("r1", "y", 9), ("r2", "y", 8)], schema)
+    changed = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "repo string")
+    touched = replace_repos(after, changed, path, buckets=8)
+    again = files()
+    for folder, names in first.items():
+        if int(folder.split("=")[1]) not in touched:
+            assert again[folder] == names
+    want = sorted([(f"r{i}", "x", j) for i in range(40) if i not in (1, 2, 3) for j in range(3)] + [("r1", "y", 9), ("r2", "y", 8)])
+
+    def table():
+        return sorted(tuple(r) for r in spark.read.parquet(path).select("repo", "rule", "line").collect())
+
+    assert table() == want
+    replace_repos(after, changed, path, buckets=8)
+    assert table() == want
+    only = spark.createDataFrame([(r,) for r in sorted({r.repo for r in before.collect()})], "repo string")
+    replace_repos(spark.createDataFrame([], schema), only, path, buckets=8)
+    assert files() == {}  # every bucket emptied, so no folder is left
