@@ -32,13 +32,18 @@ def _matches(rank: int, kind: str, pattern: str, group: int, least: int) -> str:
 SECRETS = (
     "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), parts AS ("
     + " UNION ALL ".join(_matches(i, *k) for i, k in enumerate(_KINDS)) + """),
-near AS (SELECT *, max(CAST(rank IN (1, 3) AS INT)) OVER w AS ident, max(CAST(rank IN (0, 2, 4) AS INT)) OVER w AS secret,
-    max(CAST(rank = 5 AS INT)) OVER w AS endpoint,
-    coalesce(max(CASE WHEN rank < 3 THEN stop END) OVER (PARTITION BY doc_id ORDER BY start
-      RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) > start AS covered
-  FROM parts WINDOW w AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN 300 PRECEDING AND 300 FOLLOWING)),
-kept AS (SELECT * FROM near WHERE rank < 3 OR (rank = 3 AND secret = 1) OR (rank = 4 AND (ident = 1 OR endpoint = 1) AND NOT covered)
-  OR (rank = 5 AND ident = 1 AND secret = 1)),
+near AS (SELECT *,
+    coalesce(start - max(CASE WHEN rank IN (1, 3) THEN stop END) OVER back <= 300, false)
+      OR coalesce(min(CASE WHEN rank IN (1, 3) THEN start END) OVER ahead - stop <= 300, false) AS ident,
+    coalesce(start - max(CASE WHEN rank IN (0, 2, 4) THEN stop END) OVER back <= 300, false)
+      OR coalesce(min(CASE WHEN rank IN (0, 2, 4) THEN start END) OVER ahead - stop <= 300, false) AS secret,
+    coalesce(start - max(CASE WHEN rank = 5 THEN stop END) OVER back <= 300, false)
+      OR coalesce(min(CASE WHEN rank = 5 THEN start END) OVER ahead - stop <= 300, false) AS endpoint,
+    coalesce(max(CASE WHEN rank < 3 THEN stop END) OVER back, 0) > start AS covered
+  FROM parts WINDOW back AS (PARTITION BY doc_id ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+    ahead AS (PARTITION BY doc_id ORDER BY start DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+kept AS (SELECT * FROM near WHERE rank < 3 OR (rank = 3 AND secret) OR (rank = 4 AND (ident OR endpoint) AND NOT covered)
+  OR (rank = 5 AND ident AND secret)),
 per AS (SELECT doc_id, count(*) FILTER (WHERE rank = 0) AS n_assign, count(*) FILTER (WHERE rank = 1) AS n_access,
     count(*) FILTER (WHERE rank = 2) AS n_hex,
     coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank, stop) FILTER (WHERE rank < 3), '') AS base,
