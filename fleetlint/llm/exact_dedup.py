@@ -64,9 +64,17 @@ def duplicate_groups(docs: DataFrame, id_column: str = "doc_id", text_column: st
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The documents whose row stays, with their own columns."""
+    """The documents whose row stays, with their own columns: exactly one row of each group of equal texts.
+
+    Rows that repeat the kept id with a text equal after normalising (white space aside)
+    are one row; which of them stays is not defined. Repeats are found by the id and the
+    digest of the normalised text, so no whole text is a key.
+    """
     dropped = duplicate_groups(docs, id_column, text_column).where("not kept").select(
         F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
     digest = F.sha2(normalised(whole_text(docs, text_column)), 256)
     left = docs.join(dropped, docs[id_column].eqNullSafe(dropped["_id"]) & (digest == dropped["_sha"]), "left_anti")
-    return left.dropDuplicates([id_column, text_column])
+    inner = "_dedup_sha"
+    while inner in docs.columns:  # a name of the caller's is never replaced
+        inner += "_"
+    return left.withColumn(inner, digest).dropDuplicates([id_column, inner]).drop(inner)

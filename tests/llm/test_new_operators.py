@@ -161,3 +161,13 @@ def test_hard_negatives_when_the_session_raises_partition_counts(spark, monkeypa
     monkeypatch.setattr(DataFrame, "repartitionByRange", lambda self, n, *cols: original(self, max(n, 11), *cols))
     got = sorted(tuple(r) for r in hard_negatives.mine(df, block_anchors=2, block_rows=50).collect())
     assert got == want
+
+
+def test_exact_deduplicate_keeps_one_row_per_group(spark):
+    from fleetlint.llm import exact_dedup
+
+    rows = [(5, "a b", "x"), (5, "a  b", "y"), (6, "a b", "z"), (7, None, "n"), (8, "", "e"), (9, "c", "c"), (9, "c", "c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _dedup_sha string")
+    got = sorted(r.doc_id for r in exact_dedup.deduplicate(df).collect())
+    assert got == [5, 7, 9]
+    assert exact_dedup.deduplicate(df).columns == df.columns
