@@ -7,7 +7,11 @@ The scan skips the regular expression where a group is missing.
 ``jvm`` is the pattern in a form with the same result that the JVM's engine runs as a
 loop. It recurses for each round of a repeated group, and a long enough text would
 overflow the stack of the executor: the repetition is made possessive where giving
-rounds back cannot help, or is bounded where only existence is asked.
+rounds back cannot help, or is bounded where only existence is asked. Some are preceded by
+a look at the first character, which spares most places the alternatives.
+
+``gate`` takes the place of ``needs`` where no words can: a pattern that every text with a match
+also matches, quick to search (it is used without flags for case).
 """
 
 from __future__ import annotations
@@ -32,10 +36,11 @@ class Rule:
     multiline: bool = True
     exists_only: bool = False
     jvm: str = ""
+    gate: str = ""
 
 
-def _pattern(rule_set, rule_id, severity, pattern, message, fix, needs=(), extensions=None, jvm=""):
-    return Rule("pattern", rule_set, rule_id, severity, pattern, message, fix, extensions, needs, jvm=jvm)
+def _pattern(rule_set, rule_id, severity, pattern, message, fix, needs=(), extensions=None, jvm="", gate=""):
+    return Rule("pattern", rule_set, rule_id, severity, pattern, message, fix, extensions, needs, jvm=jvm, gate=gate)
 
 
 _TS = (".ts", ".tsx")
@@ -49,7 +54,8 @@ GENERAL = (
     _pattern("general", "hardcoded_secret", CRITICAL,
              r"""(?:api[_-]?key|password|secret|token|auth|credential)\s*[:=]\s*['"][A-Za-z0-9+/=_\-]{16,}['"]""",
              "A secret value is written in the text.", "Read it from the environment or a secret store.",
-             (("key", "password", "secret", "token", "auth", "credential"), ("'", '"'))),
+             (("key", "password", "secret", "token", "auth", "credential"), ("'", '"')),
+             jvm=r"""(?=[apstc])(?:api[_-]?key|password|secret|token|auth|credential)\s*[:=]\s*['"][A-Za-z0-9+/=_\-]{16,}['"]"""),
     _pattern("general", "exposed_env_in_client", CRITICAL,
              r"(?:NEXT_PUBLIC|VITE|REACT_APP)_.*?(?:SECRET|KEY|TOKEN|PASSWORD)",
              "A variable that browsers receive carries a secret.", "Keep it on the server and proxy the call.",
@@ -65,7 +71,8 @@ GENERAL = (
              (("todo", "fixme", "hack", "xxx", "temp"),)),
     _pattern("general", "magic_number", INFO,
              r"(?:if|while|for|return|==|!=|>=|<=|>|<)\s*(?:\d{3,})\b",
-             "A bare number steers the logic.", "Give the number a name."),
+             "A bare number steers the logic.", "Give the number a name.", gate=r"[EFNRefnr=<>]\s*\d{3}",
+             jvm=r"(?=[iwfr=!<>])(?:if|while|for|return|==|!=|>=|<=|>|<)\s*(?:\d{3,})\b"),
     _pattern("general", "deep_nesting", WARNING, r"(?:^\s{16,}(?:if|for|while|switch|match))",
              "Control flow nested four levels or more.", "Return early or move the inner block to a function."),
 )

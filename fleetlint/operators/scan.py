@@ -1,7 +1,7 @@
 """The rule scan: any set of rules over all texts in one pass.
 
-Plan of one scan: paths decide which rules may look at a file; a cheap word test on
-the lower-cased text drops most of those; what is left is one row per (file, rule),
+Plan of one scan: paths decide which rules may look at a file; the words that rules need are
+collected in one pass over the lower-cased text, which drops most of those; what is left is one row per (file, rule),
 and one regular expression runs on each. Texts are read once and never shuffled;
 what leaves the scan are narrow hits.
 """
@@ -69,7 +69,7 @@ def scan(files: DataFrame, rules: Sequence[Rule], match_chars: int = MATCH_CHARS
     by_path = by_path.where(reduce(lambda a, b: a | b, [eligible[k]() for k in kinds]))
     texts = by_path.select(
         *dict.fromkeys(["repo", "path", "suffix", *carry]), "test_langs", "content",
-        F.lower("content").alias("_lower"),
+        regex.words_in(F.lower("content"), regex.needed_words(rules)).alias("_lower"),
         regex.has_odd_letters(F.col("content")).alias("_odd"),
         *[eligible[k]().alias(f"_{k}") for k in kinds],
     )

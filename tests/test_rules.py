@@ -5,6 +5,7 @@ from collections import Counter
 from dataclasses import replace
 
 import pytest
+from pyspark.sql import functions as F
 
 from checks.corpus import SNIPPETS
 from fleetlint.catalog.packs import PACKS
@@ -202,3 +203,27 @@ def test_repeated_groups_of_other_rules_run_in_python(spark, make_files):
                 for key, n in expected(rule, text).items():
                     want[(path, i, *key)] += n
     assert got == want and len(want) >= 5
+
+
+def test_words_of_a_text_are_collected_in_one_pass(spark):
+    words = regex.needed_words(RULES)
+    assert len(words) >= regex.MANY_WORDS
+    texts = EXTRA + [b for bodies in SNIPPETS.values() for b in bodies] + [
+        "".join(w[:k] + w for w in words[i::7]) for i in range(7) for k in (1, 2, 5)] + words
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, content string").selectExpr("i", "lower(content) AS low")
+    found = rows.select("i", "low", regex.words_in(rows["low"], words).alias("few")).collect()
+    for row in found:
+        assert [w in row.low for w in words] == [w in row.few for w in words], row.low
+    assert any(len(row.few) < len(row.low) for row in found)
+    assert spark.range(1).selectExpr("CAST(NULL AS string) AS t").select(regex.words_in(F.col("t"), words)).first()[0] is None
+    few = words[:regex.MANY_WORDS - 1]
+    assert spark.range(1).selectExpr("'abc' AS t").select(regex.words_in(F.col("t"), few)).first()[0] == "abc"
+
+
+def test_a_bare_number_is_looked_for_only_behind_its_last_character(spark, make_files):
+    rule = next(r for r in GENERAL if r.rule_id == "magic_number")
+    texts = ["WHILE\x1c 123", "x 123", "f١٢٣", "IF 1234 > 999", "a=12", "for\n\n456", "return(789)"]
+    assert rule.gate and all(re.search(rule.gate, t) for t in texts if re.search(rule.pattern, t, re.I | re.M))
+    files = make_files([("r", f"{i}.py", t) for i, t in enumerate(texts)])
+    got = Counter((r.path, r.match) for r in scan.scan(files, [rule]).collect())
+    assert got == Counter((f"{i}.py", m.group(0)) for i, t in enumerate(texts) for m in re.finditer(rule.pattern, t, re.I | re.M))
