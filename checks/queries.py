@@ -593,8 +593,10 @@ def _two_states(spark, sf_dir):
 
 
 def _state(spark, sf_dir, shift):
+    """The findings of a state, stored: they are written, compared and replaced from one scan."""
     hits = scan.scan_rules(corpus.files(spark, sf_dir, shift), R.GENERAL + R.DATABASE)
-    return hits.select("repo", "rule", F.col("path").alias("file"), "line", "severity", "match", "match_key")
+    return materialise(
+        hits.select("repo", "rule", F.col("path").alias("file"), "line", "severity", "match", "match_key"), "state")
 
 
 @query
