@@ -20,8 +20,8 @@ ALL_RULES = PATTERN_RULES + SECRETS + AUTH + TRAPS + SERVICE_RULES + TEST_SMELLS
 class FleetScan:
     """Lazy tables of all seven layers over one ``files`` table.
 
-    ``hits`` (one pass over all texts with every rule), ``languages``, ``deps`` and
-    ``stack`` are written to the shared folder on first use, since several layers read them.
+    ``hits`` (one pass over all texts with every rule), ``languages``, ``deps``, ``stack`` and
+    ``test_counts`` are written to the shared folder on first use, since several layers read them.
     """
 
     def __init__(self, files: DataFrame, max_files: int | None = None, dedupe: bool = False,
@@ -119,7 +119,8 @@ class FleetScan:
 
     @cached_property
     def test_counts(self) -> DataFrame:
-        return testing.test_counts(self.files, self.language_names)
+        """One row per repository, stored: the task queue reads it for its rows, its infos and their count."""
+        return materialise(testing.test_counts(self.files, self.language_names), "test-counts")
 
     @cached_property
     def findings(self) -> DataFrame:

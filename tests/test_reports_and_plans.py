@@ -228,3 +228,9 @@ def test_replaced_findings_come_from_stored_states(spark, tmp_path):
     state = queries._state(spark, str(tmp_path), 0)
     assert "Generate" not in _plan(state) and "regexp_replace" not in _plan(state)
     assert state.count() > 0
+
+
+def test_the_task_queue_counts_tests_once(spark, make_files):
+    fleet = FleetScan(make_files([("r", "a.py", "x = 1"), ("r", "test_a.py", "assert a")]))
+    assert "Aggregate" not in _plan(fleet.test_counts)
+    assert [tuple(r) for r in fleet.test_counts.select("repo", "test_file_count").collect()] == [("r", 1)]
