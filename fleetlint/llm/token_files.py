@@ -112,7 +112,7 @@ class Reader:
 
     def __init__(self, uri: str):
         store, path = open_store(uri)
-        self.file = store.open_input_file(path)
+        self.file, self.held = store.open_input_file(path), (-1, np.zeros(0, np.uint32))
         size = self.file.size()
         magic, self.bits, self.block, _, _ = _HEADER.unpack(self.file.read_at(_HEADER.size, 0))
         tail = self.file.read_at(16 + _TRAILER.size, size - 16 - _TRAILER.size)
@@ -130,12 +130,15 @@ class Reader:
         if first >= last:
             return np.zeros(0, np.uint32)
         a, b = first // self.block, (last - 1) // self.block
-        data = self.file.read_at(int(self.offsets[b + 1] - self.offsets[a]), int(self.offsets[a]))
-        out = []
-        for k in range(a, b + 1):
-            n = min(self.block, int(self.starts[-1]) - k * self.block)
-            out.append(unpack_bits(data[self.offsets[k] - self.offsets[a]:self.offsets[k + 1] - self.offsets[a]], self.bits, n))
-        return np.concatenate(out)[first - a * self.block:last - a * self.block]
+        blocks = [self._block(k) for k in range(a, b + 1)]
+        return (blocks[0] if a == b else np.concatenate(blocks))[first - a * self.block:last - a * self.block]
+
+    def _block(self, k: int) -> np.ndarray:
+        """The ids of a block; the last one read is kept, since documents in a row share it."""
+        if self.held[0] != k:
+            data = self.file.read_at(int(self.offsets[k + 1] - self.offsets[k]), int(self.offsets[k]))
+            self.held = k, unpack_bits(data, self.bits, min(self.block, int(self.starts[-1]) - k * self.block))
+        return self.held[1]
 
     def document(self, k: int) -> np.ndarray:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))

@@ -9,22 +9,31 @@ breaks is encoded as a whole.
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
 
-#: Stretches that a worker remembers; the memory is emptied when it is full.
-CACHE_ENTRIES = 1_000_000
-_OTHER_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]")
+#: Stretches that a worker remembers; when the memory is full, those of the texts at hand stay.
+CACHE_ENTRIES = 400_000
+#: Characters of a joined text of stretches.
+JOINED_CHARS = 16_384
+#: White space other than a space or a line break, and two of these in a row.
+_OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"] + ["  ", " \n", "\n ", "\n\n"]
+_OTHER_ASCII = [c for c in _OTHER_SPACE if c.isascii()]
+
+
+def has_other_space(text: str) -> bool:
+    return any(map(text.__contains__, _OTHER_ASCII if text.isascii() else _OTHER_SPACE))
 
 
 class StretchCache:
     """Ids of texts as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], entries: int = CACHE_ENTRIES,
+                 encode_stretches: Callable[[list[str]], list[bytes]] | None = None):
         self.encode_strings, self.entries = encode, entries
+        self.encode_stretches = encode_stretches or encode  # of strings that begin with their only white space
         self.known: dict[str, bytes] = {}
         self.known_first: dict[str, bytes] = {}  # first stretches of texts follow no space
 
@@ -36,24 +45,24 @@ class StretchCache:
         missing: set[str] = set()
         missing_first: set[str] = set()
         for i, text in enumerate(texts):
-            if _OTHER_SPACE.search(text):
+            if has_other_space(text):
                 whole.append(i)
                 continue
             first, *stretches = text.replace("\n", " \n").split(" ")
             missing.update(stretches)
             missing_first.add(first)
             parts.append((i, first, stretches))
-        missing.difference_update(self.known)
-        missing_first.difference_update(self.known_first)
+        missing = missing.difference(self.known)  # looks up each of the missing, not each of the known
+        missing_first = missing_first.difference(self.known_first)
         if missing or missing_first:
             if len(self.known) + len(self.known_first) + len(missing) + len(missing_first) > self.entries:
-                self.known, self.known_first = {}, {}
-                missing = set().union(*(s for _, _, s in parts))
-                missing_first = {first for _, first, _ in parts}
-            wanted, wanted_first = sorted(missing), sorted(missing_first)
-            ids = self.encode_strings([s if s[:1] == "\n" else " " + s for s in wanted] + wanted_first)
-            self.known.update(zip(wanted, ids[:len(wanted)], strict=True))
-            self.known_first.update(zip(wanted_first, ids[len(wanted):], strict=True))
+                used = set().union(*(s for _, _, s in parts)).difference(missing)
+                self.known = {s: self.known[s] for s in used}
+                self.known_first = {f: self.known_first[f] for _, f, _ in parts if f in self.known_first}
+            wanted, wanted_first = list(missing), list(missing_first)
+            ids = self.encode_stretches([s if s[:1] == "\n" else " " + s for s in wanted])
+            self.known.update(zip(wanted, ids, strict=True))
+            self.known_first.update(zip(wanted_first, self.encode_strings(wanted_first), strict=True))
         find = self.known.__getitem__
         for i, first, stretches in parts:
             out[i] = self.known_first[first] + b"".join(map(find, stretches))
@@ -89,4 +98,45 @@ def library_encoder(path: str) -> tuple[StretchCache, int]:
             out += [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(strings[i:i + 1024], add_special_tokens=False)]
         return out
 
-    return StretchCache(encode), tokenizer.get_vocab_size(with_added_tokens=True)
+    # the vocabulary is byte-level: a token has a character for each of its bytes
+    n_bytes = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        n_bytes[i] = len(token)
+    return StretchCache(encode, encode_stretches=lambda strings: encode_joined(strings, encode, n_bytes)), len(n_bytes)
+
+
+def encode_joined(strings: list[str], encode: Callable[[list[str]], list[bytes]], n_bytes: np.ndarray) -> list[bytes]:
+    """``encode(strings)`` for strings that begin with their only white space.
+
+    They are encoded as one text, which splits before each of them, and cut where the bytes of
+    the tokens reach their ends. A text whose tokens do not end there is encoded string by string,
+    and so is white space alone, which would meet that of the next string.
+    """
+    out = [b""] * len(strings)
+    groups: list[list[int]] = [[]]
+    alone, chars = [], 0
+    for i, text in enumerate(strings):
+        if len(text) < 2:
+            alone.append(i)
+            continue
+        if chars > JOINED_CHARS:
+            groups.append([])
+            chars = 0
+        groups[-1].append(i)
+        chars += len(text)
+    joined = ["".join([strings[i] for i in group]) for group in groups]
+    for group, text, data in zip(groups, joined, encode(joined), strict=True):
+        parts = [strings[i] for i in group]
+        ends = np.cumsum([len(p) for p in parts] if text.isascii() else [len(p.encode()) for p in parts])
+        reached = np.cumsum(n_bytes[np.frombuffer(data, "<u4")])
+        at = np.searchsorted(reached, ends)
+        if len(reached) == 0 or reached[-1] != ends[-1] or (reached[at] != ends).any():
+            alone += group
+            continue
+        a = 0
+        for i, b in zip(group, (4 * (at + 1)).tolist(), strict=True):
+            out[i] = data[a:b]
+            a = b
+    for i, data in zip(alone, encode([strings[i] for i in alone]), strict=True):
+        out[i] = data
+    return out

@@ -362,3 +362,46 @@ def test_pipeline(spark):
             assert len({" ".join(t.split()) for t in before.values()}) >= len(after)
         assert set(after) <= set(before) and len(after) > 0.7 * len(before)
     assert corpus_pipeline.run(spark, SF).where("offset + length > 2048").count() == 0
+
+
+def test_stretches_encoded_as_one_text_have_their_own_ids():
+    calls = []
+    encoder, _ = tokens.library_encoder(packing.TOKENIZER)
+
+    def encode(strings):
+        calls.append(len(strings))
+        return encoder.encode_strings(strings)
+
+    strings = [" a", "\nb", " ", "\n", " don't", " ümläut", " 漢字🙂", " x9,'s", " <|endoftext|>", "\n\x00y", " 12345678", " É"] + [
+        f" w{i}" for i in range(5000)]
+    _, size = tokens.library_encoder(packing.TOKENIZER)
+    n_bytes = encoder.encode_stretches.__closure__ and next(
+        c.cell_contents for c in encoder.encode_stretches.__closure__ if isinstance(c.cell_contents, np.ndarray))
+    assert len(n_bytes) == size
+    assert tokens.encode_joined(strings, encode, n_bytes) == encoder.encode_strings(strings)
+    assert max(calls) < 10  # a few texts, not one per string
+    calls.clear()
+    assert tokens.encode_joined(strings, encode, n_bytes + 1) == encoder.encode_strings(strings)  # ends that are not reached
+    assert tokens.encode_joined([], encode, n_bytes) == []
+
+
+def test_documents_in_a_row_read_their_block_once(tmp_path):
+    out = token_files.Writer(str(tmp_path / "a.ids"), 16, block=64)
+    docs = [np.arange(n, dtype=np.uint32) for n in (5, 0, 7, 200, 1, 64, 3)]
+    for i, ids in enumerate(docs):
+        out.add(i, ids)
+    out.close()
+    reader = token_files.Reader(str(tmp_path / "a.ids"))
+
+    class Counted:
+        def __init__(self, file):
+            self.file, self.reads = file, 0
+
+        def read_at(self, *at):
+            self.reads += 1
+            return self.file.read_at(*at)
+
+    reader.file = counted = Counted(reader.file)
+    assert [reader.document(k).tolist() for k in range(len(docs))] == [d.tolist() for d in docs]
+    assert counted.reads == len(reader.offsets) - 1
+    assert reader.document(0).tolist() == docs[0].tolist()
