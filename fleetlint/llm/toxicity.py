@@ -164,10 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, prior: float | None = None) -> Model
                     batch.column("positive").slice(first, last - first),
                     pa.array([w.tobytes() for w in words], pa.binary())], ["positive", "words"])
 
-    rows = map_arrow(examples, run, "positive boolean, words binary").toPandas()
-    sets = [np.frombuffer(w, np.uint64) for w in rows["words"]]
-    positive = [s for s, p in zip(sets, rows["positive"], strict=True) if p]
-    unlabelled = [s for s, p in zip(sets, rows["positive"], strict=True) if not p]
+    # as Arrow: neither rows as Python objects nor a second copy of the words in the driver
+    rows = map_arrow(examples, run, "positive boolean, words binary").toArrow()
+    sets = [np.frombuffer(w.as_buffer(), np.uint64) for w in rows["words"]]
+    positive = [s for s, p in zip(sets, rows["positive"].to_pylist(), strict=True) if p]
+    unlabelled = [s for s, p in zip(sets, rows["positive"].to_pylist(), strict=True) if not p]
     return train(positive, unlabelled, prior)
 
 

@@ -405,3 +405,15 @@ def test_documents_in_a_row_read_their_block_once(tmp_path):
     assert [reader.document(k).tolist() for k in range(len(docs))] == [d.tolist() for d in docs]
     assert counted.reads == len(reader.offsets) - 1
     assert reader.document(0).tolist() == docs[0].tolist()
+
+
+def test_toxicity_collects_its_sample_as_arrow(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, ("vile " if i % 2 else "kind ") + prose(i, 20)) for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+
+    def refused(*_):
+        raise AssertionError("the sample became Python objects in the driver")
+
+    monkeypatch.setattr(type(docs), "toPandas", refused)
+    model = toxicity.fit(docs, labels)
+    assert len(model.words) and np.isfinite(model.weights).all()
