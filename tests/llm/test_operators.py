@@ -417,3 +417,39 @@ def test_toxicity_collects_its_sample_as_arrow(spark, monkeypatch):
     monkeypatch.setattr(type(docs), "toPandas", refused)
     model = toxicity.fit(docs, labels)
     assert len(model.words) and np.isfinite(model.weights).all()
+
+
+def test_stretches_are_encoded_once_without_the_marks_behind_them():
+    import re
+
+    from fleetlint.llm import tokens
+
+    given = []
+
+    def encode(strings):
+        given.extend(strings)
+        return [np.array([ord(c) for c in s], "<u4").tobytes() for s in strings]
+
+    cache = tokens.StretchCache(encode, entries=8)
+    texts = ["one two, two. two; two", "two! one:two\n×. two.\nx..", "", " ", "é, я?! a.'s"]
+    expected = [np.array([ord(c) for c in t], "<u4").tobytes() for t in texts]
+    assert cache.encode_texts(texts) == expected
+    assert given.count(" two") == 1 and not [s for s in given if re.search("[a-zéя][.,;:!?]", s)]
+    for text, ids in zip(texts, expected, strict=True):  # with a memory that turns over
+        assert cache.encode_texts([text]) == [ids]
+    assert len(cache.known) <= 4 + 12
+
+
+def test_words_given_to_the_model_match_the_library():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from fleetlint.llm import tokens
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.encode_special_tokens = True
+    assert tokens.splits_words(library)
+    texts = ["Thinking, thinkings; ÊTRE étionon. Übermaß! ñuestra пример, пример: ×÷ªº", "it's 'sable e.g. a.'s x.'ll 3.14, 7. ...a. ,b. \nab\n.",
+             "<|endoftext|> a<|endoftext|>.", " a ", "ǅab ʯ. 中文. ǆ,", "a\x00b. \x00", "á. bͅ, \U00010d50. ٣."]
+    cache, _ = tokens.library_encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert cache.encode_texts(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
