@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from fleetlint.llm.tables import map_arrow, whole_text
+from fleetlint.llm.tables import kept_between_tasks, map_arrow, whole_text
 from fleetlint.llm.tokens import StretchCache, batches_of_texts
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -101,6 +101,7 @@ class ByteBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+@kept_between_tasks
 @lru_cache(maxsize=2)
 def load(path: str, pattern: str = PATTERN) -> tuple[ByteBpe, StretchCache]:
     with open(path, "rb") as lines:
@@ -131,4 +132,4 @@ def encoded(docs: DataFrame, path: str = RANKS, pattern: str = PATTERN, id_colum
 
     texts = docs.select(docs[id_column].cast("long").alias("doc_id"), whole_text(docs, text_column).alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return map_arrow(texts, run, schema)
+    return map_arrow(texts, run, schema, uses_kept=True)

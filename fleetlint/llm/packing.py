@@ -64,7 +64,7 @@ def token_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, tokens: int = TOKE
                     pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     texts = docs.select(docs[id_column].cast("long").alias("doc_id"), whole_text(docs, text_column).alias("text"))
-    return map_arrow(texts, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return map_arrow(texts, run, "doc_id long, piece int, start long, length long, ids_crc32 long", uses_kept=True)
 
 
 def best_fit(lengths: np.ndarray, tokens: int, documents: int, cost: float, weights: tuple = WEIGHTS,

@@ -170,7 +170,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
             out.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": path, "n_docs": len(out.docs), "n_ids": out.n_ids}])
 
-    written = materialise(map_arrow(ordered, run, "part long, path string, n_docs long, n_ids long"), "token-files")
+    written = materialise(map_arrow(ordered, run, "part long, path string, n_docs long, n_ids long", uses_kept=True), "token-files")
     # one row per file: a running sum over the list of files
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     return written.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))

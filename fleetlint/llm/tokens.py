@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from fleetlint.llm.tables import kept_between_tasks
+
 #: Stretches that a worker remembers; when half of them are new, the older half goes.
 CACHE_ENTRIES = 800_000
 #: White space that no cut text has stands before each stretch; letters of any version of Unicode; one of them and the mark behind it.
@@ -101,6 +103,7 @@ def batches_of_texts(texts: list[str], chars: int = 2_000_000):
         yield first, len(texts)
 
 
+@kept_between_tasks
 @lru_cache(maxsize=2)
 def library_encoder(path: str) -> tuple[StretchCache, int]:
     """An encoder by the tokenizers library for a tokenizer file, and the size of its vocabulary."""

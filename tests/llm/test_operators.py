@@ -453,3 +453,13 @@ def test_words_given_to_the_model_match_the_library():
              "<|endoftext|> a<|endoftext|>.", " a ", "ǅab ʯ. 中文. ǆ,", "a\x00b. \x00", "á. bͅ, \U00010d50. ٣."]
     cache, _ = tokens.library_encoder(public_tokenizers.path("byte_bpe_50k.json"))
     assert cache.encode_texts(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+
+
+def test_other_work_of_a_worker_drops_the_encoders():
+    from fleetlint.llm import tables
+
+    for load, path in ((tokens.library_encoder, packing.TOKENIZER), (byte_bpe.load, byte_bpe.RANKS)):
+        load(path)
+        assert load.cache_info().currsize
+    assert tables._alone(list)("ab") == ["a", "b"]
+    assert not tokens.library_encoder.cache_info().currsize and not byte_bpe.load.cache_info().currsize
