@@ -101,6 +101,8 @@ _ANY = r"[^\n]"
 # so every substring of up to that length lies inside one piece.
 _PIECES = r"(?U)(?=({0}{{1,%d}})){0}{{1,%d}}"
 _LEAST_STEP = 256
+# Unusual characters of stems up to this number are looked for in pieces before these are moved.
+MAX_ANCHORS = 100
 
 
 def _substrings(piece: Column, lengths: Column) -> Column:
@@ -136,19 +138,27 @@ def mentioned_stems(critical: DataFrame, files: DataFrame, language_names: DataF
     """
     is_plain = F.col("stem").rlike(_ALL_PLAIN)
     stems = critical.where(is_plain if plain else ~is_plain).select("repo", "stem").distinct()
-    longest = stems.agg(F.max(F.length("stem"))).first()[0] or 1
-    step = max(_LEAST_STEP, longest)
     offset = F.length(F.regexp_extract("stem", f"(?U)^{_PLAIN}*", 0))
+    anchor = F.substring(F.col("stem"), offset + 1, F.lit(1))
+    bounds = stems.agg(F.min(F.length("stem")), F.max(F.length("stem"))).first()
+    shortest, longest = bounds[0] or 1, bounds[1] or 1
+    step = max(_LEAST_STEP, longest)
     shape = F.length("stem") if plain else F.struct(
-        F.substring(F.col("stem"), offset + 1, F.lit(1)).alias("anchor"), offset.alias("offset"),
-        F.length("stem").alias("n"))
+        anchor.alias("anchor"), offset.alias("offset"), F.length("stem").alias("n"))
     shapes = stems.groupBy("repo").agg(F.collect_set(shape).alias("shapes"))
     pieces = F.regexp_extract_all(
         F.lower("content"), F.lit((_PIECES % (step + longest, step)).format(_PLAIN if plain else _ANY)), 1)
+    # a piece that no stem fits in is left out before pieces are moved
+    fits, has_anchor = F.length("piece") >= shortest, F.lit(True)
+    if not plain:
+        anchors = [row[0] for row in stems.select(anchor).distinct().limit(MAX_ANCHORS + 1).collect()]
+        if len(anchors) <= MAX_ANCHORS:
+            fits, has_anchor = fits & contains_any(F.col("piece"), anchors), contains_any(F.lower("content"), anchors)
     tests = (
         files.withColumn("test_langs", walk.test_languages())
-        .where(F.col("suffix").isin(*walk.TEST_SUFFIXES) & (F.size("test_langs") > 0) & F.col("content").isNotNull())
+        .where(F.col("suffix").isin(*walk.TEST_SUFFIXES) & (F.size("test_langs") > 0) & F.col("content").isNotNull() & has_anchor)
         .select("repo", "test_langs", F.explode(F.array_distinct(pieces)).alias("piece"))
+        .where(fits)
         .distinct()
     )
     known = shapes.join(language_names, "repo", "left")

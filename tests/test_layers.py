@@ -131,3 +131,21 @@ def test_oversized_and_copied(spark, make_files):
     assert [(r.files, r.occurrences) for r in shared] == [(2, 2)]
     same = [r for r in rows if r.first_path == "d.py"]
     assert [(r.files, r.occurrences) for r in same] == [(2, 495 + 493)]
+
+
+def test_pieces_that_no_stem_fits_in_are_not_moved(spark, make_files, monkeypatch):
+    stems = ["login_main", "pay[x]auth", "token{y}"]
+    rows = [("r", f"auth/api/{stem}.py", "login token") for stem in stems]
+    rows += [("r", "tests/test_a.py", "see login_main2 pay[x]aut\n" + "short words only in this line\n" * 3 + "a token{y} b")]
+    files = make_files(rows)
+    fleet = FleetScan(files, None, rules=testing.CRITICAL_RULES)
+    got = {}
+    for most in (testing.MAX_ANCHORS, 0):
+        monkeypatch.setattr(testing, "MAX_ANCHORS", most)
+        for plain in (True, False):
+            found = testing.mentioned_stems(fleet.critical_files, files, fleet.language_names, plain)
+            got[most > 0, plain] = {row.stem for row in found.collect()}
+            plan = found._jdf.queryExecution().optimizedPlan().toString().lower()
+            moved = next(line for line in plan.split("\n") if "filter" in line and "length(piece" in line and "generate" not in line)
+            assert ("contains(piece" in moved) == bool(most and not plain)
+    assert got == {(True, True): {"login_main"}, (True, False): {"token{y}"}, (False, True): {"login_main"}, (False, False): {"token{y}"}}

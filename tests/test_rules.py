@@ -1,9 +1,11 @@
 """Every rule against Python's ``re`` with the flags the rules are written for."""
 
+import random
 import re
 from collections import Counter
 from dataclasses import replace
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,3 +229,34 @@ def test_a_bare_number_is_looked_for_only_behind_its_last_character(spark, make_
     files = make_files([("r", f"{i}.py", t) for i, t in enumerate(texts)])
     got = Counter((r.path, r.match) for r in scan.scan(files, [rule]).collect())
     assert got == Counter((f"{i}.py", m.group(0)) for i, t in enumerate(texts) for m in re.finditer(rule.pattern, t, re.I | re.M))
+
+
+def test_words_are_found_within_single_texts_only(spark):
+    words = sorted({f"w{i:02d}" + "abcdefghij"[:i % 11] * (1 + i % 3) for i in range(40)} | {"é", "=", "éa", "zz", "日本", "日本語の文"})
+    rng = random.Random(7)
+    texts = [None, ""] + ["".join(rng.choice([*words, *(w[:-1] for w in words), " ", "\n"]) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    texts += [part for w in words for part in (w[:2], w[2:])] + words
+    find = regex._word_finder(words)
+    want = [None if t is None else [w for w in words if w in t] for t in texts]
+    column = pa.array(texts)
+    for found in (find(column), *(pa.concat_arrays([find(column.slice(i, n)) for i in range(0, len(texts), n)]) for n in (1, 7, 300))):
+        assert [None if t is None else t.split("\n") if t else [] for t in found.to_pylist()] == want
+    rows = spark.createDataFrame([("x w03abc",)], "t string")
+    plan = rows.select(regex.words_in(F.col("t"), words).alias("few"))
+    assert "regexp" not in plan._jdf.queryExecution().toString() and plan.first()[0] == "w03abc" and words.count("w03abc") == 1
+
+
+def test_places_are_passed_over_by_their_first_character():
+    def look(pattern, ignore_case=True):
+        return regex._first_look(pattern, ignore_case)
+
+    assert look("(?:TODO|FIXME)\\b") == "(?-iU:(?=[FTft]))" and look("AKIA", False) == "(?-iU:(?=[A]))"
+    assert look("if|skip") == "(?-iU:(?=[ISis\u0130\u0131\u017f]))" and look("(?i)kb", False) == "(?-iU:(?=[Kk\u212a]))"
+    assert look("a?b+(?=c)") == "(?-iU:(?=[ABab]))" and look("[=!]=|^x", False) == "(?-iU:(?=[\\x{21}\\x{3d}x]))"
+    assert not any(look(p) for p in (r"\w+x", ".x", "[^a]b", "a*", "(?:a|)", r"\s+a", "é", r"\p{L}", "(?:(?-i:a)|b)"))
+
+
+def test_a_flag_inside_a_pattern_counts_for_its_first_character(spark, make_files):
+    rules = [Rule("text", "x", "a", "info", "(?i)todo|kelvin", ignore_case=False), Rule("text", "x", "b", "info", "todo|kelvin", ignore_case=False)]
+    got = Counter((r.rule_ix, r.match) for r in scan.scan(make_files([("r", "a.txt", "TODO todo \u212aelvin Kelvin")]), rules).collect())
+    assert got == Counter([(0, "TODO"), (0, "todo"), (0, "\u212aelvin"), (0, "Kelvin"), (1, "todo")])
