@@ -26,18 +26,23 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(least.select("u", F.col("m").alias("v")))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """True when each larger node has one link, to a node that is the least of all its own."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    sums = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return sums.where("up > 1 OR (up = 1 AND down = 1)").agg(F.count("*")).first()[0] == 0
+
+
 def components(links: DataFrame, name: str = "components") -> DataFrame:
     """``(node, component)`` for each node of ``links(a, b)`` that is not the least of its component.
 
     Links are unordered pairs of ids. Each round is written to the shared folder, so lineage
-    stays short; the rounds grow with the logarithm of the longest chain. A hot node is
-    handled by sums and joins that can be split, never in one group.
+    stays short; the rounds grow with the logarithm of the longest chain, and end as soon as only
+    stars are left. A hot node is handled by sums and joins that can be split, never in one group.
     """
     edges = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, state = materialise(edges, name), None
-    while True:
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == state or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = now
-        edges = materialise(_small_star(_large_star(edges).distinct()).distinct(), name)
+    edges = materialise(edges, name)
+    while not _are_stars(edges):
+        edges = materialise(_small_star(_large_star(edges)).distinct(), name)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

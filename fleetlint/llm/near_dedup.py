@@ -257,17 +257,15 @@ def links(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> Data
         split = rows.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("band")
         return materialise(rows.join(split, "band"), "open-buckets")
 
-    found = confirm(against_pivots(open_buckets(None), lambda c: c))
-    labels = components(found)
+    labels = components(confirm(against_pivots(open_buckets(None), lambda c: c)))
     for k in range(PIVOT_ROUNDS):
         rest = open_buckets(labels)
         more = confirm(against_pivots(rest, lambda c: F.xxhash64(c, F.lit(k))))
         if more.isEmpty():
             continue
-        found = found.union(more)
-        labels = components(found)
+        labels = components(labels.toDF("a", "b").union(more))
     more = block_links(members, labels, sets, percent)
-    return labels if more.isEmpty() else components(found.union(more))
+    return labels if more.isEmpty() else components(labels.toDF("a", "b").union(more))
 
 
 def groups(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id",

@@ -463,3 +463,26 @@ def test_other_work_of_a_worker_drops_the_encoders():
         assert load.cache_info().currsize
     assert tables._alone(list)("ab") == ["a", "b"]
     assert not tokens.library_encoder.cache_info().currsize and not byte_bpe.load.cache_info().currsize
+
+
+def test_components_end_as_soon_as_stars_are_left(spark, monkeypatch):
+    from fleetlint.llm import components as c
+
+    stored, keep = [], c.materialise
+    monkeypatch.setattr(c, "materialise", lambda df, name: stored.append(name) or keep(df, name))
+    rng = random.Random(3)
+    graphs = {"stars": ([(9, 1), (1, 7), (5, 2), (4, 4)], 1), "none": ([], 1), "two links up": ([(9, 1), (9, 2)], None), "chain": ([(i, i + 1) for i in range(40)], None),
+              "any": ([(rng.randrange(200), rng.randrange(200)) for _ in range(180)], None)}
+    for name, (links, rounds) in graphs.items():
+        stored.clear()
+        least = {x: x for link in links for x in link}
+        for _ in least:
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        got = {tuple(r) for r in c.components(spark.createDataFrame(links, "a long, b long")).collect()}
+        assert got == {(x, m) for x, m in least.items() if x != m}, name
+        assert rounds is None or len(stored) == rounds, name
+        if len(stored) > 1:  # no round that only confirms the one before
+            tables = len(stored)
+            again = c.components(spark.createDataFrame(sorted(got), "a long, b long"))
+            assert {tuple(r) for r in again.collect()} == got and len(stored) == tables + 1
